@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -17,18 +18,22 @@ WHITESPACE = " \t\n\r\x0b\x0c"
 WORD_START, WORD_END = "\u0001", "\u0002"
 
 
+def literal(value, kind: str) -> Column:
+    """A literal list or map. Written as JSON it is one node until Spark folds it,
+    where an expression per entry would make every plan slow to build."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
 def strings(values: Iterable[str]) -> Column:
-    """A literal array of strings; typed even when empty."""
-    values = list(values)
-    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+    """A literal array of strings."""
+    return literal(list(values), "array<string>")
 
 
 def literal_map(entries: dict) -> Column:
-    """A literal map; values may be strings, numbers or lists of strings."""
-    cells = []
-    for key, value in entries.items():
-        cells += [F.lit(key), strings(value) if isinstance(value, (list, tuple)) else F.lit(value)]
-    return F.create_map(*cells)
+    """A literal map from text; values are all strings, all numbers or all lists of strings."""
+    kinds = {str: "string", int: "int", float: "double", list: "array<string>"}
+    kind = kinds[type(next(iter(entries.values())))] if entries else "string"
+    return literal({str(key): value for key, value in entries.items()}, f"map<string,{kind}>")
 
 
 def strip(text: Column) -> Column:
@@ -94,10 +99,8 @@ def marked(phrase: str) -> str:
 
 def swaps(pairs: Iterable[tuple[str, str]]) -> Column:
     """A literal list of phrase replacements for :func:`swap_phrases`."""
-    rows = [F.struct(F.lit(marked(old)).alias("old"), F.lit(marked(new)).alias("new")) for old, new in pairs]
-    if not rows:
-        return F.array().cast("array<struct<old:string,new:string>>")
-    return F.array(*rows)
+    rows = [{"old": marked(old), "new": marked(new)} for old, new in pairs]
+    return literal(rows, "array<struct<old:string,new:string>>")
 
 
 def swap_phrases(marked_text: Column, replacements: Column) -> Column:

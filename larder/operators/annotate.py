@@ -98,13 +98,10 @@ def category_of(marked_text: Column, excluded: Column) -> Column:
     return F.try_element_at(X.literal_map(CATEGORY_OF_WORD), word)
 
 
-def _found(rows: list[tuple[str, ...]], names: list[str], marked_text: Column) -> Column:
-    """Rows of a phrase table whose phrase (first field) occurs as whole words."""
-    literal = F.array(*[
-        F.struct(*[F.lit(X.marked(v) if i == 0 else v).alias(n) for i, (n, v) in enumerate(zip(names, row))])
-        for row in rows
-    ])
-    return F.filter(literal, lambda r: F.contains(marked_text, r[names[0]]))
+def _found(rows: list[dict], kind: str, marked_text: Column) -> Column:
+    """Rows of a phrase table whose ``phrase`` occurs as whole words."""
+    marked = [row | {"phrase": X.marked(row["phrase"])} for row in rows]
+    return F.filter(X.literal(marked, f"array<struct<{kind}>>"), lambda r: F.contains(marked_text, r["phrase"]))
 
 
 def one_plant_tag(tags: Column) -> Column:
@@ -113,13 +110,16 @@ def one_plant_tag(tags: Column) -> Column:
 
 
 def dietary_tags(marked_text: Column) -> Column:
-    found = F.transform(_found(tables.DIETARY_WORDS, ["word", "tag"], marked_text), lambda r: r["tag"])
+    rows = [{"phrase": word, "tag": tag} for word, tag in tables.DIETARY_WORDS]
+    found = F.transform(_found(rows, "phrase:string,tag:string", marked_text), lambda r: r["tag"])
     return one_plant_tag(F.array_distinct(found))
 
 
 def ranking_preferences(text: Column) -> Column:
-    found = [F.when(F.contains(text, F.lit(word)), F.lit(kind)) for word, kind in tables.PREFERENCE_WORDS]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    rows = [{"phrase": word, "kind": kind} for word, kind in tables.PREFERENCE_WORDS]
+    literal = X.literal(rows, "array<struct<phrase:string,kind:string>>")
+    found = F.filter(literal, lambda r: F.contains(text, r["phrase"]))
+    return F.array_distinct(F.transform(found, lambda r: r["kind"]))
 
 
 # ---- nutrient bounds ------------------------------------------------------
@@ -197,12 +197,12 @@ def quality_bounds(marked_text: Column, numeric: Column) -> Column:
     """Bounds of "high", "low" and "less", for nutrients without a numeric bound."""
     bound_of = {(d, n): (op, value) for d, n, op, value in tables.QUALITY_BOUNDS}
     rows = [
-        (f"{d} {word}", nutrient, *bound_of[d, nutrient])
+        {"phrase": f"{d} {word}", "nutrient": nutrient} | dict(zip(("operator", "value"), bound_of[d, nutrient]))
         for d in dict.fromkeys(d for d, *_ in tables.QUALITY_BOUNDS)
         for word, nutrient in tables.NUTRIENT_WORDS
         if (d, nutrient) in bound_of
     ]
-    found = _found(rows, ["phrase", "nutrient", "operator", "value"], marked_text)
+    found = _found(rows, "phrase:string,nutrient:string,operator:string,value:double", marked_text)
     free = F.filter(found, lambda r: ~F.exists(numeric, lambda c: c["nutrient"] == r["nutrient"]))
     return F.transform(free, lambda r: _constraint(r["nutrient"], r["operator"], r["value"]))
 
@@ -242,10 +242,7 @@ def search_terms(marked_text: Column, category: Column, excluded: Column, target
     own = F.coalesce(F.try_element_at(X.literal_map(PHRASES_OF_CATEGORY), category), X.strings([]))
     excluded_forms = F.flatten(F.transform(excluded, lambda i: F.try_element_at(X.literal_map(forms), i)))
     blanked = X.drop_phrases(marked_text, F.concat(own, X.strings(DELETED_PHRASES), excluded_forms))
-    words = F.filter(
-        X.tokens(blanked, "[a-z]+"),
-        lambda w: (F.length(w) > 1) & ~w.isin(tables.STOP_WORDS + tables.UNIT_TOKENS),
-    )
+    words = F.array_except(X.tokens(blanked, "[a-z][a-z]+"), X.strings(tables.STOP_WORDS + tables.UNIT_TOKENS))
     target_words = X.tokens(F.lower(F.coalesce(target, F.lit(""))), "[a-z]+")
     return F.array_distinct(F.concat(words, target_words))
 

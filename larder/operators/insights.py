@@ -18,7 +18,7 @@ def _over(levels, test) -> list[Column]:
 
 
 def _by_nova(lines: dict[int, str]) -> Column:
-    return F.try_element_at(literal_map(lines), F.col("nova_group"))
+    return F.try_element_at(literal_map(lines), F.col("nova_group").cast("string"))
 
 
 def _risky_additives() -> Column:
@@ -51,7 +51,7 @@ def positive_indicators() -> Column:
 def health_score() -> Column:
     """Whole-number score around 5."""
     grade = F.try_element_at(literal_map(tables.GRADE_INSIGHT), F.col("nutriscore")) - 2
-    nova = F.try_element_at(literal_map(tables.NOVA_PENALTY), F.col("nova_group"))
+    nova = F.try_element_at(literal_map(tables.NOVA_PENALTY), F.col("nova_group").cast("string"))
     score = F.lit(5) + F.coalesce(grade, F.lit(0)) - F.coalesce(nova, F.lit(0))
     for name, limit, _ in tables.HIGH_LEVELS:
         score -= F.coalesce((F.col(name) > limit).cast("int"), F.lit(0))
