@@ -163,27 +163,25 @@ def known_diets() -> Column:
     )
 
 
-def has_diets(tags: Column, diets: Column) -> Column:
-    """Every tag is among the product's diets, or (unknown tags) in its label text."""
+def has_diets(tags: Column, diets: Column, label: Column) -> Column:
+    """Every tag is among the product's diets, or (unknown tags) in its lower-case label text."""
     known = strings(tables.LABEL_PATTERNS)
     return F.forall(
         tags,
         lambda t: F.array_contains(diets, t)
-        | (~F.array_contains(known, t) & F.contains(F.lower(F.col("label_text")), F.lower(t))),
+        | (~F.array_contains(known, t) & F.contains(label, F.lower(t))),
     )
 
 
-def without_ingredients(ingredients: Column) -> Column:
-    return F.forall(
-        ingredients,
-        lambda i: (F.trim(i) == "")
-        | ~(
-            F.contains(F.lower(F.col("ingredient_filter_text")), F.lower(F.trim(i)))
-            | F.contains(
-                F.lower(F.col("ingredient_filter_text")), F.replace(F.lower(F.trim(i)), F.lit(" "), F.lit("-"))
-            )
-        ),
-    )
+def without_ingredients(ingredients: Column, text: Column) -> Column:
+    """No ingredient occurs in the lower-case text, spaced or hyphenated."""
+
+    def absent(i: Column) -> Column:
+        plain = F.lower(F.trim(i))
+        hyphened = F.replace(plain, F.lit(" "), F.lit("-"))
+        return (plain == "") | ~(F.contains(text, plain) | F.contains(text, hyphened))
+
+    return F.forall(ingredients, absent)
 
 
 def keyword_list(words: Column) -> Column:
@@ -193,8 +191,44 @@ def keyword_list(words: Column) -> Column:
     return F.slice(F.array_distinct(kept), 1, tables.KEYWORDS_USED)
 
 
-def mentions_all(words: Column) -> Column:
-    return F.forall(words, lambda w: F.contains(F.lower(F.col("combined_text")), w))
+def mentions_all(words: Column, text: Column) -> Column:
+    """All words occur in the lower-case text."""
+    return F.forall(words, lambda w: F.contains(text, w))
+
+
+def loosest_limits(bounds: Column) -> dict[str, Column]:
+    """Per nutrient the highest cap and the lowest floor over all relaxation levels.
+
+    No product outside these limits passes any level, and they are plain numbers:
+    a join can test them in compiled code before the lists are looked at.
+    """
+    every = F.flatten(bounds)
+
+    def limit(name: str, sign: str) -> Column:
+        own = F.filter(every, lambda c: (c["nutrient"] == name) & c["operator"].startswith(sign))
+        values = F.transform(own, lambda c: c["value"])
+        return F.array_max(values) if sign == "<" else F.array_min(values)
+
+    return {
+        "caps": F.array(*[limit(n, "<") for n in tables.NUTRIENTS]),
+        "floors": F.array(*[limit(n, ">") for n in tables.NUTRIENTS]),
+    }
+
+
+def present_nutrients() -> Column:
+    """Which nutrient columns the product table has, in the order of the table."""
+    return F.array(*[F.array_contains(F.map_keys("nutrients"), n) for n in tables.NUTRIENTS])
+
+
+def within_limits() -> Column:
+    """The test for ``caps``, ``floors`` and the product's ``present`` flags."""
+    tests = []
+    for i, name in enumerate(tables.NUTRIENTS):
+        absent, amount = ~F.get("present", F.lit(i)), F.col(name)
+        cap, floor = F.get("caps", F.lit(i)), F.get("floors", F.lit(i))
+        tests.append(absent | cap.isNull() | F.coalesce(amount <= cap, F.lit(False)))
+        tests.append(absent | floor.isNull() | F.coalesce(amount >= floor, F.lit(False)))
+    return reduce(lambda a, b: a & b, tests)
 
 
 def text_tokens(text: Column) -> Column:

@@ -16,8 +16,22 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def shuffle_parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def evenly(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over all shuffle partitions, for work that is heavy per row.
+
+    Adaptive execution sizes partitions by bytes; a count of its own keeps it from
+    putting few bytes but much work into one task.
+    """
+    return df.repartition(shuffle_parts(df), *keys)
+
+
 def spread_join(
-    big: DataFrame, small: DataFrame, keys: list[str], split_by: list[str], rows_per_part: int | None = None
+    big: DataFrame, small: DataFrame, keys: list[str], split_by: list[str], rows_per_part: int | None = None,
+    heavy: bool = False,
 ) -> DataFrame:
     """Equi-join in which a key with very many ``big`` rows is split into parts.
 
@@ -25,6 +39,7 @@ def spread_join(
     only. The part of a row is a hash of ``split_by``: the same row lands in
     the same part when a lost task is run again. The load table has at most
     rows(big) / rows_per_part rows, which is what makes broadcasting it safe.
+    ``heavy`` says that the joined rows are few bytes but much work.
     Keeps the column ``_part``: windows over the keys plus finer columns can
     include it and need no second shuffle.
     """
@@ -38,6 +53,8 @@ def spread_join(
         .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
         .drop("_parts")
     )
+    if heavy:
+        left = evenly(left, *keys, "_part")
     return left.join(right, [*keys, "_part"])
 
 

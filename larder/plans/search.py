@@ -26,9 +26,10 @@ from pyspark.sql.window import Window
 from larder import tables
 from larder.functions.text import strings, strip, tokens
 from larder.operators.intents import add_relaxations
-from larder.operators.ordering import candidate_order, first_rows
+from larder.operators.ordering import candidate_order, first_rows, nutrition_heuristic
 from larder.operators.predicates import (
-    CONSTRAINT_TYPE, has_diets, keyword_list, known_diets, mentions_all, passes_bounds, without_ingredients,
+    CONSTRAINT_TYPE, has_diets, keyword_list, known_diets, loosest_limits, mentions_all, passes_bounds,
+    present_nutrients, within_limits, without_ingredients,
 )
 from larder.plans.joins import checked_join, fits, spread_join, substring_pairs
 from larder.session import cut_lineage
@@ -45,7 +46,7 @@ INTENT_COLUMNS = {
     "excluded_ingredients": "array<string>",
 }
 PROBE = ["kind", "pattern"]
-INTENTS_PER_PART = 1000  # intents of one probe that try its head in one task
+INTENTS_PER_PART = 50  # intents of one probe that try its head in one task
 
 
 def complete_intents(intents: DataFrame) -> DataFrame:
@@ -92,38 +93,46 @@ def _add_probe(intents: DataFrame) -> DataFrame:
     return intents.withColumns({"kind": kind, "pattern": F.coalesce(tag, word, diet, F.lit(""))})
 
 
-def _term_lists() -> dict[str, Column]:
-    """What a product offers to each kind of probe."""
-    return {
+def _terms(kinds: list[str]) -> Column:
+    """What a product offers to the probes of these kinds, as (kind, term)."""
+    lists = {
         "tag": F.array_distinct(F.transform("category_terms", F.lower)),
         "word": F.array_distinct(tokens(F.lower("combined_text"), "[a-z0-9]+")),
         "diet": F.col("diets"),
-        "any": strings([""]),
+        "any": F.array(F.lit("")),
     }
 
+    def named(kind: str) -> Column:
+        return F.transform(lists[kind], lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
 
-def _keyed(products: DataFrame, patterns: DataFrame, kind: str) -> DataFrame:
-    """Products with every probe text of one kind they contain, each pair once."""
-    wanted = patterns.filter(F.col("kind") == kind)
-    if kind == "any":
-        return products.withColumns({"kind": F.lit(kind), "pattern": F.lit("")})
-    terms = _term_lists()[kind]
-    if kind == "diet":  # a closed set of labels, at most eight
-        bridge = wanted.withColumn("term", F.col("pattern"))
-    else:
-        vocabulary = products.select(F.lit(kind).alias("kind"), F.explode(terms).alias("term")).distinct()
-        bridge = cut_lineage(substring_pairs(vocabulary, wanted))
+    return F.concat(*map(named, kinds))
+
+
+def offers_for(products: DataFrame, patterns: DataFrame, kinds: list[str]) -> DataFrame:
+    """Products with every probe text they contain, each pair once.
+
+    ``patterns(kind, pattern)`` are distinct; ``kinds`` are those that occur.
+    """
+    texts = [k for k in kinds if k in ("tag", "word")]
+    bridge = patterns.filter(~F.col("kind").isin("tag", "word")).withColumn("term", F.col("pattern"))
+    if texts:
+        vocabulary = products.select(F.explode(_terms(texts)).alias("t")).select("t.*").distinct()
+        bridge = bridge.unionByName(substring_pairs(vocabulary, patterns.filter(F.col("kind").isin(texts))))
+    bridge = cut_lineage(bridge)
     if fits(bridge):
         # Map-side: the row meets its probe texts without a shuffle. A probe text
         # found in two terms of one product counts at the first of them.
-        own = products.withColumn("_terms", terms)
-        rows = own.select("*", F.posexplode("_terms").alias("_at", "term"))
-        found = rows.join(F.broadcast(bridge), "term")
-        earlier = F.exists(F.slice("_terms", F.lit(1), F.col("_at")), lambda t: F.contains(t, F.col("pattern")))
-        return found.filter(~earlier).drop("_terms", "_at", "term")
+        rows = products.withColumn("_terms", _terms(kinds)).select("*", F.posexplode("_terms").alias("_at", "_own"))
+        rows = rows.withColumns({"kind": F.col("_own.kind"), "term": F.col("_own.term")})
+        found = rows.join(F.broadcast(bridge), ["kind", "term"])
+        earlier = F.exists(
+            F.slice("_terms", F.lit(1), F.col("_at")),
+            lambda t: (t["kind"] == F.col("kind")) & F.contains(t["term"], F.col("pattern")),
+        )
+        return found.filter(~earlier).drop("_terms", "_at", "_own", "term")
     # Otherwise only codes and terms are shuffled before the rows are fetched.
-    slim = products.select("code", F.explode(terms).alias("term"))
-    codes = spread_join(slim, bridge, ["term"], ["code"]).select("code", *PROBE).distinct()
+    slim = products.select("code", F.explode(_terms(kinds)).alias("t")).select("code", "t.*")
+    codes = spread_join(slim, bridge, ["kind", "term"], ["code"]).select("code", *PROBE).distinct()
     return products.join(codes, "code")
 
 
@@ -142,14 +151,27 @@ def _level(relaxed: bool) -> Column:
 
 
 def _matches(pairs: DataFrame, relaxed: bool) -> DataFrame:
-    """Pairs that pass every predicate, with their level."""
+    """Pairs that pass every predicate, with their level. Cheap tests come first."""
     text_tests = (
-        (F.col("wanted").isNull() | F.contains(F.lower("category_filter_text"), F.col("wanted")))
-        & has_diets(F.col("dietary_tags"), F.col("diets"))
-        & mentions_all(F.col("keywords"))
-        & without_ingredients(F.col("excluded_ingredients"))
+        (F.col("wanted").isNull() | F.contains(F.col("low_category"), F.col("wanted")))
+        & has_diets(F.col("dietary_tags"), F.col("diets"), F.col("low_label"))
+        & mentions_all(F.col("keywords"), F.col("low_combined"))
+        & without_ingredients(F.col("excluded_ingredients"), F.col("low_ingredients"))
     )
-    return pairs.withColumn("level", _level(relaxed)).filter(F.col("level").isNotNull() & text_tests)
+    likely = pairs.filter(within_limits()).filter(text_tests)
+    return likely.withColumn("level", _level(relaxed)).filter(F.col("level").isNotNull())
+
+
+def _catalog(products: DataFrame) -> DataFrame:
+    """Products with what the pair tests look at, prepared once per product."""
+    return products.withColumns({
+        "diets": known_diets(),
+        "present": present_nutrients(),
+        "low_category": F.lower("category_filter_text"),
+        "low_label": F.lower("label_text"),
+        "low_combined": F.lower("combined_text"),
+        "low_ingredients": F.lower("ingredient_filter_text"),
+    })
 
 
 def _best(matches: DataFrame, limit: int, spread: list[str]) -> DataFrame:
@@ -178,12 +200,14 @@ def search_intents(
     of ``INTENT_COLUMNS``. Join the result back with :func:`add_search_key`.
     """
     product_columns = products.columns
-    catalog = (products.filter("is_listed") if listed_only else products).withColumn("diets", known_diets())
+    catalog = _catalog(products.filter("is_listed") if listed_only else products)
     columns = [
         "intent_id", *PROBE, "wanted", "keywords", "kids", "strict", "dietary_tags", "excluded_ingredients", "bounds",
+        "caps", "floors",
     ]
     keyed_intents = add_search_key(intents).dropDuplicates(["intent_id"])
-    wanted = cut_lineage(_add_probe(add_relaxations(keyed_intents)).select(*columns))
+    levels = _add_probe(add_relaxations(keyed_intents))
+    wanted = cut_lineage(levels.withColumns(loosest_limits(F.col("bounds"))).select(*columns))
 
     patterns = wanted.select(*PROBE).distinct()
     kinds = [row["kind"] for row in patterns.select("kind").distinct().collect()]  # at most four
@@ -192,10 +216,7 @@ def search_intents(
         nothing = catalog.limit(0).withColumns({
             "intent_id": F.lit(""), "level": F.lit(0), "candidate_rank": F.lit(0)})
         return nothing.select(*result_columns)
-    keyed = [_keyed(catalog, patterns, kind) for kind in kinds]
-    offers = keyed[0]
-    for more in keyed[1:]:
-        offers = offers.unionByName(more)
+    offers = offers_for(catalog, patterns, kinds)
 
     # First try: the head of every probe, in each order that is asked for.
     heads = [*PROBE, "kids", "strict"]
@@ -204,7 +225,7 @@ def search_intents(
     ordered = checked_join(offers, orders, PROBE, ["code"]).drop("_part")
     head = cut_lineage(first_rows(ordered, heads, _order(), size, "_place"))
     # Many intents may share a probe, so here the intents are the side to split.
-    pairs = spread_join(wanted, head, heads, ["intent_id"], INTENTS_PER_PART)
+    pairs = spread_join(wanted, head, heads, ["intent_id"], INTENTS_PER_PART, heavy=True)
     tried = cut_lineage(
         _best(_matches(pairs, relaxed), limit, [*heads, "_part"]).select(*result_columns)
     )
@@ -229,3 +250,24 @@ def level_summary(intents: DataFrame, candidates: DataFrame) -> DataFrame:
     return add_relaxations(add_search_key(intents)).join(found, "intent_id", "left").withColumn(
         "candidate_rows", F.coalesce("candidate_rows", F.lit(0).cast("bigint"))
     )
+
+
+def search_mentions(products: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """The first product in plain candidate order that mentions all ``words`` of each key.
+
+    One product per key: the smallest order key wins, and every task merges its
+    rows before the shuffle, so hot words cost one row per key and task.
+    """
+    product_columns = products.columns
+    word = _longest(F.col("words"))
+    probed = cut_lineage(asked.select(key, "words", F.lit("word").alias("kind"), word.alias("pattern")))
+    offers = offers_for(products, probed.select(*PROBE).distinct(), ["word"])
+    pairs = checked_join(offers, probed, PROBE, ["code"])
+    matched = pairs.filter(mentions_all(F.col("words"), F.lower("combined_text")))
+    place = F.struct(
+        (-F.col("grade_points")).alias("grade"), (-F.col("nova_points")).alias("nova"),
+        (-nutrition_heuristic()).alias("nutrition"), (-F.coalesce("unique_scans_n", F.lit(0))).alias("scans"),
+        F.col("name_text"), F.col("code"),
+    )
+    first = matched.groupBy(key).agg(F.min_by(F.struct(*product_columns), place).alias("product"))
+    return first.select(key, "product.*")

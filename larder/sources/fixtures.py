@@ -22,6 +22,7 @@ PHRASES = [
     "barres de collation adaptes a un regime pauvre en sodium",
     "snack under 200 calories", "cereal with over 10g protein", "maximum 0.5g sodium per 100g",
     "over 15g protein high protein bar", "healthier alternative to red ring", "instead of peanut butter",
+    "healthier alternative to large anvil brand 9", "instead of hot gear brand 3.", "replace small gizmo",
     "replace blue bolt with something better, please", "zero sugar drink",
     "low sugar snacks with no added sugar", "give a snack which has no palm oil", "0 sugar choclates",
     "snacks avec au moins 7g de proteines", "moins de 390 calories et au moins 7g de proteines",
