@@ -245,3 +245,8 @@ def has_label(folded: Column, tag: Column) -> Column:
     wanted = fold_accents(F.lower(F.trim(tag)))
     synonyms = F.coalesce(F.try_element_at(literal_map(tables.LABEL_SYNONYMS), wanted), F.array(wanted))
     return F.exists(synonyms, lambda s: F.contains(folded, s))
+
+
+def lookup(products: DataFrame, codes: DataFrame) -> DataFrame:
+    """The products whose ``code`` is among the given ones."""
+    return products.join(codes.select("code").distinct(), "code", "left_semi")

@@ -28,6 +28,8 @@ PHRASES = [
     "snacks avec au moins 7g de proteines", "moins de 390 calories et au moins 7g de proteines",
     "protein 12 g or more and sugar 5 g or less", "under 200 mg sodium crackers", "10g protein 300 calories",
     "vegan vegetarian plant-based olive oil", "healthiest kid-friendly ready meals under 10 sugar",
+    "vegan snacks under 5 calories", "cereals under 10 calories over 24g protein", "cookies with over 26g protein",
+    "low sugar gluten free yogurt over 11g fiber", "kosher under 1 calories", "organic red", "low fat brand",
     "red widget for kids", "  Healthy   Organic CEREALS,  low saturated fat ", "over 300 calories", "",
 ]
 
