@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder import tables
-from larder.functions.text import WHITESPACE, fold_accents, strings, strip, tokens
+from larder.functions.text import fold_accents, literal_map, strip, tokens
 
 LANGUAGE_PREFIX = "^[a-z]{2}:"
 QUOTED_ITEM = "'([^']+)'|\"([^\"]+)\""
@@ -64,33 +64,41 @@ def _first_filled(values: Column) -> Column:
 
 def _entry_text(entry: Column) -> Column:
     """Text of a ``{text, lang, ...}`` map: its ``text``, else its first filled value."""
-    values = F.transform(F.map_values(entry), strip)
-    return _first_filled(F.concat(F.array(strip(F.try_element_at(entry, F.lit("text")))), values))
+    values = F.concat(F.array(F.try_element_at(entry, F.lit("text"))), F.map_values(entry))
+    return _first_filled(F.transform(values, strip))
 
 
-def _preferred_text(entries: Column, language, text) -> Column:
-    """Text in the preferred languages, else the first filled one."""
+def _preferred_text(entries: Column, language, own_text, any_text) -> Column:
+    """Own text in the first preferred language that has one, else the first filled text.
 
+    ``entries`` become (language place, position, text); the smallest wins.
+    """
+    places = literal_map({lang: i for i, lang in enumerate(tables.TEXT_LANGUAGES)})
 
-    def in_language(wanted: str) -> Column:
-        return _first_filled(F.transform(F.filter(entries, lambda e: language(e) == wanted), text))
+    def placed(entry: Column, at: Column) -> Column:
+        place = F.when(F.coalesce(own_text(entry), F.lit("")) != "", F.try_element_at(places, language(entry)))
+        return F.struct(
+            F.coalesce(place, F.lit(len(tables.TEXT_LANGUAGES))).alias("place"), at.alias("at"),
+            any_text(entry).alias("text"),
+        )
 
-    chosen = [in_language(wanted) for wanted in tables.TEXT_LANGUAGES]
-    return F.coalesce(*chosen, _first_filled(F.transform(entries, text)))
+    filled = F.filter(F.transform(entries, placed), lambda e: F.coalesce(e["text"], F.lit("")) != "")
+    return F.array_min(filled)["text"]
 
 
 def _written_text(value: Column) -> Column:
     """Text inside a written-out list or dictionary such as ``[{'lang': 'en', 'text': 'x'}]``."""
     json = F.regexp_replace(value, r"([:,\[]\s*)None(?=\s*[,}\]])", "$1null")
-    dictionary = F.from_json(json, "map<string,string>", JSON_LIKE)
     items = F.from_json(json, "array<string>", JSON_LIKE)
-    as_entry = lambda item: F.from_json(item, "map<string,string>", JSON_LIKE)
-    language = lambda item: F.try_element_at(as_entry(item), F.lit("lang"))
-    text = lambda item: F.when(item.startswith("{"), _entry_text(as_entry(item))).otherwise(strip(item))
-    kept = F.filter(items, lambda item: item.isNotNull())
-    return F.when(value.startswith("{"), _entry_text(dictionary)).when(
-        value.startswith("["), _preferred_text(kept, language, text)
+    as_map = lambda item: F.from_json(item, "map<string,string>", JSON_LIKE)
+    # A plain item of the list counts as an entry without a language.
+    entries = F.transform(
+        F.filter(items, lambda item: item.isNotNull()),
+        lambda item: F.when(item.startswith("{"), as_map(item)).otherwise(F.create_map(F.lit(""), item)),
     )
+    get = lambda name: (lambda entry: F.try_element_at(entry, F.lit(name)))
+    listed = _preferred_text(entries, get("lang"), lambda e: strip(get("text")(e)), _entry_text)
+    return F.when(value.startswith("{"), _entry_text(as_map(json))).when(value.startswith("["), listed)
 
 
 def text_value(value: Column, kind: T.DataType) -> Column:
@@ -110,8 +118,7 @@ def text_value(value: Column, kind: T.DataType) -> Column:
         own = kind.elementType
         if isinstance(own, T.StructType) and {"lang", "text"} <= set(own.fieldNames()):
             own_text = lambda entry: text_value(entry["text"], own["text"].dataType)
-            preferred = _preferred_text(entries, lambda entry: entry["lang"], own_text)
-            return F.coalesce(preferred, _first_filled(F.transform(entries, text)))
+            return _preferred_text(entries, lambda entry: entry["lang"], own_text, text)
         return _first_filled(F.transform(entries, text))
     return F.lit(None).cast("string")
 
@@ -171,7 +178,7 @@ def slug(name: Column) -> Column:
 
 def page_url(code: Column, name: Column, site: Site) -> Column:
     """Canonical page of a product; empty without a code."""
-    named = F.coalesce(F.nullif(slug(name), F.lit("")), F.lit(None))
+    named = F.nullif(slug(name), F.lit(""))
     address = F.concat_ws("/", F.lit(f"https://{site.host}/product"), code, named)
     return F.when(F.coalesce(code, F.lit("")) == "", F.lit("")).otherwise(address)
 
