@@ -65,7 +65,7 @@ def answer_rows(queries: DataFrame, candidates: DataFrame, max_results: int = ta
     has_text = (F.size(terms) > 0) | (F.size(dietary) > 0) | (F.coalesce(category, F.lit("")) != "")
     healthy = F.array_contains("ranking_preferences", "healthy")
     return summed.select(
-        "text", "language", "normalized_text", "category", "category_tag", "level",
+        "text", "language", "normalized_text", "category", "category_tag", "level", "final_constraints",
         interpreted_query(category, bounds, dietary, terms, without, F.col("language")).alias("interpreted"),
         applied_filters(category, bounds, dietary, without).alias("applied_filters"),
         relaxation_log(F.col("level"), has_text).alias("relaxation_log"),
