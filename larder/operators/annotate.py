@@ -322,7 +322,11 @@ def signal_score(intent: Column) -> Column:
 def annotate_queries(
     queries: DataFrame, text: str = "text", translation: str | None = None, strict_bare_kcal: bool = False
 ) -> DataFrame:
-    """Add language, normal form and the intent's fields to a query log. No shuffle."""
+    """Add language, normal form and the intent's fields to a query log. No shuffle.
+
+    Store the result before filtering or joining on its columns: Spark would push
+    such a condition, with the parser written out in it, down to the log.
+    """
     staged = parse(preprocess(queries, text, translation), "normalized_text", "_first", strict_bare_kcal)
     if translation is None:
         # Both readings would be the same, and merging a reading with itself changes nothing.

@@ -25,12 +25,14 @@ def read_queries(log: DataFrame, tags: dict[str, str] | None = None, translation
     """One row per different text of the log, with its intent and category tag.
 
     Distinct texts first: repeated phrases are merged inside each task, so a
-    phrase that makes up a third of the log costs one row per task.
+    phrase that makes up a third of the log costs one row per task. The result is
+    written once: it is read several times, and a filter on a parsed column must
+    not be pushed through the whole parser.
     """
     columns = ["text"] + ([translation] if translation else [])
     texts = evenly(log.select(*columns).distinct(), *columns)
     read = map_categories(extract_constraints(annotate_queries(texts, "text", translation)), tags)
-    return read.withColumn("raw_text", F.col("text"))
+    return cut_lineage(read.withColumn("raw_text", F.col("text")))
 
 
 def rank_candidates(
@@ -113,7 +115,7 @@ def answer_log(
     semantic: bool = True,
 ) -> Answers:
     """The whole search job for a log; phrases that compare are left to ``compare_log``."""
-    read = cut_lineage(read_queries(log, tags, translation))
+    read = read_queries(log, tags, translation)
     searches = read.filter(F.coalesce("comparison_product", F.lit("")) == "")
     return answer_intents(products, searches, max_results, semantic)
 
