@@ -190,7 +190,7 @@ LANGUAGE = f"""CASE WHEN strip_accents(lower(text)) <> lower(text) OR len(list_d
   regexp_extract_all(strip_accents(lower(text)), '[a-zA-Z]+'), lambda x: list_contains({strs(t.FRENCH_HINTS)}, x)))) >= 2
   THEN 'fr' ELSE 'en' END"""
 
-PREPROCESSED = f"""preprocessed AS (SELECT *, {normalized_sql('text', 'language')} AS normalized
+PREPROCESSED = f"""preprocessed AS MATERIALIZED (SELECT *, {normalized_sql('text', 'language')} AS normalized
 FROM (SELECT *, {LANGUAGE} AS language FROM texts))"""
 
 
@@ -264,12 +264,12 @@ def parse_ctes(source: str = "preprocessed", prefix: str = "") -> str:
     return f"""{p}p1 AS (SELECT *, replace(lower(normalized), '-', ' ') AS low, {excluded} AS excluded,
   trim({comparison}) AS comparison,
   CASE WHEN regexp_extract(normalized, {lit(t.UNIT_PATTERN)}, 1) = 'mg' THEN 1000.0 ELSE 1.0 END AS unit_divisor FROM {source}),
-{p}p2 AS (SELECT *, {category} AS category, {tags} AS raw_tags, {preferences} AS preferences, {directed} AS directed FROM {p}p1),
-{p}p3 AS (SELECT *, list_concat(directed, {bare}, {kcal}, {zero}) AS numeric_bounds,
+{p}p2 AS MATERIALIZED (SELECT *, {category} AS category, {tags} AS raw_tags, {preferences} AS preferences, {directed} AS directed FROM {p}p1),
+{p}p3 AS MATERIALIZED (SELECT *, list_concat(directed, {bare}, {kcal}, {zero}) AS numeric_bounds,
   CASE WHEN list_contains(raw_tags, 'vegan') THEN list_filter(raw_tags, lambda x: x <> 'vegetarian') ELSE raw_tags END AS tags,
   {terms} AS all_terms FROM {p}p2),
 {p}p4 AS (SELECT *, list_concat(numeric_bounds, {quality}, {diet}) AS all_bounds FROM {p}p3),
-{p}parsed AS (SELECT *, {first_seen('all_terms')} AS terms, {strictest_sql('all_bounds')} AS cons FROM {p}p4)"""
+{p}parsed AS MATERIALIZED (SELECT *, {first_seen('all_terms')} AS terms, {strictest_sql('all_bounds')} AS cons FROM {p}p4)"""
 
 
 def strictest_sql(bounds: str) -> str:

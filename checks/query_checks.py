@@ -258,8 +258,8 @@ def relax_sql(bounds: str) -> str:
             f"THEN greatest(CAST(0 AS DOUBLE), {floor}) ELSE {cap} END) AS DOUBLE)}})")
 
 
-LEVELS = f"""step1 AS (SELECT *, cons AS cons0, {relax_sql('cons')} AS cons1 FROM parsed),
-levels AS (SELECT *, {relax_sql('cons1')} AS cons2 FROM step1)"""
+LEVELS = f"""step1 AS MATERIALIZED (SELECT *, cons AS cons0, {relax_sql('cons')} AS cons1 FROM parsed),
+levels AS MATERIALIZED (SELECT *, {relax_sql('cons1')} AS cons2 FROM step1)"""
 
 
 def log_sql(before: str, after: str) -> str:

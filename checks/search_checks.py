@@ -68,7 +68,7 @@ SEARCHES = f"""{o.CATALOG},
 {o.QUALITY},
 {o.PARSED},
 {LEVELS},
-asked AS (SELECT *, {tag_sql(fixtures.FIXTURE_TAGS)} AS wanted FROM levels WHERE coalesce(comparison, '') = '')"""
+asked AS MATERIALIZED (SELECT *, {tag_sql(fixtures.FIXTURE_TAGS)} AS wanted FROM levels WHERE coalesce(comparison, '') = '')"""
 
 
 def searches(spark, folder):
@@ -297,7 +297,7 @@ def vector_similarity(spark, folder):
 
 
 @check("G4_similarity_choice", f"""SELECT q.vec_id AS query_vec, c.vec_id, CAST(0 AS DOUBLE) AS off,
-  CASE WHEN c.vec_id % 3 = 0 THEN CASE WHEN q.label = c.vec_id % 10 THEN 1.0 ELSE round(1.0 / 3, 4) END
+  CASE WHEN c.vec_id % 3 = 0 THEN CAST(CASE WHEN q.label = c.vec_id % 10 THEN 1.0 ELSE 0.3333 END AS DOUBLE)
   ELSE {COSINE} END AS similarity FROM {PAIRED}""")
 def similarity_choice(spark, folder):
     rows = vector_pairs(spark, folder).selectExpr(

@@ -53,11 +53,14 @@ def lexical_similarity(text: Column, product_tokens: Column) -> Column:
 
 
 def cosine_similarity(left: Column, right: Column) -> Column:
-    """Cosine of two vectors, moved to 0..1."""
+    """Cosine of two vectors, moved to 0..1; NULL if one is missing."""
     total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
     product = lambda a, b: total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    cosine = product(left, right) / F.sqrt(product(left, left) * product(right, right))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine + 1.0) / 2.0))
+    norms = F.sqrt(product(left, left) * product(right, right))
+    cosine = F.when(norms > 0, product(left, right) / norms).when(norms == 0, F.lit(0.0))
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine + 1.0) / 2.0))
+    # greatest and least skip NULLs, so a missing vector has to be named.
+    return F.when(cosine.isNotNull(), moved)
 
 
 def similarity(
