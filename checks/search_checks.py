@@ -357,8 +357,8 @@ def _final(expression: str) -> str:
 
 @check("F9_answer_rows", o.with_(
     SEARCHES, search_sql("asked", t.CANDIDATE_ROWS),
-    "summed AS (SELECT text, min(level) AS level, count(*) AS candidate_rows FROM found GROUP BY text)",
-    """final AS (SELECT a.*, s.level, coalesce(s.candidate_rows, 0) AS candidate_rows,
+    "summed AS MATERIALIZED (SELECT text, min(level) AS level, count(*) AS candidate_rows FROM found GROUP BY text)",
+    """final AS MATERIALIZED (SELECT a.*, s.level, coalesce(s.candidate_rows, 0) AS candidate_rows,
   CASE s.level WHEN 0 THEN cons0 WHEN 1 THEN cons1 ELSE cons2 END AS final_cons FROM asked a LEFT JOIN summed s ON a.text = s.text)""",
 ) + f"""
 SELECT text, CAST(level AS BIGINT) AS level, {o.joined(_final(FILTERS_SQL))} AS filters, {o.bounds_text('final_cons')} AS bounds,
