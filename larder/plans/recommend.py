@@ -14,7 +14,6 @@ from pyspark.sql.window import Window
 from larder import tables
 from larder.functions.text import strip
 from larder.operators.insights import add_insights
-from larder.operators.ordering import first_rows
 from larder.operators.predicates import text_tokens
 from larder.operators.quality import add_quality
 from larder.operators.recommend import improvements
@@ -60,12 +59,25 @@ def best_of_pools(candidates: DataFrame, keep: int = tables.RECOMMENDED_ROWS) ->
     return ranked.filter(F.col("pool_place") <= keep + F.col("_most")).drop("_copies", "_most")
 
 
-def pick_recommendations(pairs: DataFrame, group: list[str], keep: int = tables.RECOMMENDED_ROWS) -> DataFrame:
-    """From (reference, pool row) pairs the best rows per reference, with what they do better."""
-    better = pairs.filter(
-        (F.col("code") != F.col("ref_code")) & (F.col("quality") > F.col("ref_quality") * tables.MIN_GAIN)
-    )
-    picked = first_rows(better, group, [F.col("quality").desc(), F.col("pool_place").asc()], keep)
+def pool_lists(best: DataFrame) -> DataFrame:
+    """The rows of :func:`best_of_pools` as one ordered list per pool (250 entries at most)."""
+    entry = F.struct(*[c for c in best.columns if c != "intent_id"])
+    lists = best.groupBy("intent_id").agg(F.collect_list(entry).alias("pool"))
+    return lists.withColumn("pool", F.array_sort("pool", lambda a, b: a["pool_place"] - b["pool_place"]))
+
+
+def pick_recommendations(pairs: DataFrame, keep: int = tables.RECOMMENDED_ROWS) -> DataFrame:
+    """From (reference, pool list) rows the best entries per reference, with what they do better.
+
+    The list is in rank order already, so picking is done in the row, without a shuffle.
+    """
+    chosen = F.slice(
+        F.filter("pool", lambda p: (p["code"] != F.col("ref_code"))
+                 & (p["quality"] > F.col("ref_quality") * tables.MIN_GAIN)),
+        1, keep)
+    own = [c for c in pairs.columns if c not in ("pool", "intent_id", "_part")]
+    rows = pairs.withColumn("_chosen", chosen).select(*own, F.posexplode("_chosen").alias("_at", "_product"))
+    picked = rows.select(*own, (F.col("_at") + 1).alias("rank"), "_product.*")
     return add_insights(picked).withColumn("improvements", improvements())
 
 
@@ -75,15 +87,13 @@ def _as_reference(products: DataFrame) -> list[Column]:
 
 def recommend_all(products: DataFrame, keep: int = tables.RECOMMENDED_ROWS) -> DataFrame:
     """Recommendations for every product of the catalog that has a category."""
-    scored = add_quality(products).withColumn("category", first_category())
-    references = scored.filter(F.col("category").isNotNull()).select("category", *_as_reference(scored))
-    pools = references.select("category").distinct()
-    best = best_of_pools(category_pools(products, pools), keep)
-    keyed = add_search_key(pools).select("category", "intent_id")
-    heads = keyed.join(best, "intent_id").drop("intent_id")
-    pairs = checked_join(references, heads, ["category"], ["ref_code"])
-    # A product's pool rows come together in its own row's task: rank them there.
-    return pick_recommendations(pairs, ["category", "_part", "ref_code"], keep)
+    scored = add_quality(products).withColumn("ref_category", first_category())
+    references = scored.filter(F.col("ref_category").isNotNull()).select("ref_category", *_as_reference(scored))
+    pools = references.select(F.col("ref_category").alias("category")).distinct()
+    lists = pool_lists(best_of_pools(category_pools(products, pools), keep))
+    heads = add_search_key(pools).select(F.col("category").alias("ref_category"), "intent_id").join(lists, "intent_id")
+    pairs = checked_join(references, heads, ["ref_category"], ["ref_code"])
+    return pick_recommendations(pairs, keep)
 
 
 def compare_queries(products: DataFrame, queries: DataFrame, keep: int = tables.RECOMMENDED_ROWS) -> DataFrame:
@@ -106,6 +116,6 @@ def compare_queries(products: DataFrame, queries: DataFrame, keep: int = tables.
         "text", "target", "category", "search_terms", "intent_id", *[f"ref_{c}" for c in COMPARED]
     )
     pools = pooled.select("category", "search_terms").distinct()
-    best = best_of_pools(category_pools(products, pools), keep)
-    pairs = spread_join(pooled.drop("category", "search_terms"), best, ["intent_id"], ["text"])
-    return pick_recommendations(pairs, ["intent_id", "_part", "text"], keep)
+    lists = pool_lists(best_of_pools(category_pools(products, pools), keep))
+    pairs = spread_join(pooled.drop("category", "search_terms"), lists, ["intent_id"], ["text"])
+    return pick_recommendations(pairs, keep)
