@@ -15,6 +15,11 @@ from larder.llm import kernel
 KNOWN_CHUNKS = 1_500_000  # a worker that has this many starts anew; results do not depend on it
 
 
+# Letters that tokenizers may count as white space too.
+_WIDE_SPACES = [c.encode() for c in map(chr, [0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029,
+                                              0x202F, 0x205F, 0x3000, 0xFEFF])]
+
+
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pieces of a pool, one after the other."""
     before = np.cumsum(lengths) - lengths
@@ -29,6 +34,13 @@ def spans(text: kernel.Text, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     space = breaks[text.data]
     begins = np.zeros(n + 1, bool)
     begins[1:n] = space[1:] & ~space[:-1]
+    at = np.flatnonzero(begins)
+    for wide in _WIDE_SPACES:  # no chunk begins right after one
+        last = text.data[at - 1] == wide[-1]
+        for back in range(2, len(wide) + 1):
+            last &= text.data[np.maximum(at - back, 0)] == wide[-back]
+        if last.any():
+            begins[at[last]] = False
     begins[text.offsets] = True
     begins[n] = False
     starts = np.flatnonzero(begins)

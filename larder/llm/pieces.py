@@ -50,6 +50,9 @@ class Vocabulary:
                 self.cost[piece] = (round(COST_UNIT * math.log(2 + rank)), i)
                 self.bytes.append(piece.replace(_MARK, " ").encode())
         self.longest = max(map(len, self.cost))
+        self.longest_at: dict[str, int] = {}  # the longest piece that ends with a letter
+        for piece in self.cost:
+            self.longest_at[piece[-1]] = max(self.longest_at.get(piece[-1], 1), len(piece))
 
 
 @functools.lru_cache(maxsize=4)
@@ -62,67 +65,82 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class StreamingViterbi:
-    """Takes letters one at a time and gives out ids as soon as they are certain.
+    """Takes a text in parts and gives out ids as soon as they are certain.
 
-    ``window`` is the number of boundaries kept. A path can only go on from one
-    of the last ``longest`` boundaries, so those are the living ends.
+    ``window`` is the largest number of letters that were kept. A path can only
+    go on from one of the last ``longest`` boundaries: those are the living ends.
     """
 
     def __init__(self, known: Vocabulary) -> None:
         self.known = known
-        self.letters: list[str] = []
-        self.best: list[tuple[int, int, tuple[int, ...]]] = [(0, -1, ())]  # cost, boundary before, ids of the last step
-        self.window = 1
-
-    def push(self, letter: str) -> list[int]:
-        self.letters.append(letter)
-        end = len(self.letters)
-        best: tuple[int, int, tuple[int, ...]] | None = None
-        for start in range(max(0, end - self.known.longest), end):
-            found = self.known.cost.get("".join(self.letters[start:end]))
-            if found is not None and (best is None or self.best[start][0] + found[0] < best[0]):
-                best = (self.best[start][0] + found[0], start, (found[1],))
-        if best is None:
-            raw = (_MARK if letter == _LITERAL else letter).encode()
-            best = (self.best[end - 1][0] + BYTE_COST * len(raw), end - 1, tuple(self.known.byte_id[b] for b in raw))
-        self.best.append(best)
-        self.window = max(self.window, len(self.best))
-        return self._commit() if end > 2 * self.known.longest else []
+        self.letters = ""
+        # Of the best path to each boundary of the window: its cost, the boundary before, the ids of its last step.
+        self.cost, self.back, self.step = [0], [-1], [()]
+        self.window = 0
+
+    def feed(self, part: str) -> list[int]:
+        """Take more letters; the ids that they make certain."""
+        ids: list[int] = []
+        for at in range(0, len(part), self.known.longest):
+            self._extend(part[at : at + self.known.longest])
+            if len(self.letters) > 2 * self.known.longest:
+                ids += self._commit()
+        return ids
+
+    def _extend(self, part: str) -> None:
+        known, cost, longest_at = self.known.cost, self.cost, self.known.longest_at
+        letters, first = self.letters + part, len(self.letters)
+        for end in range(first + 1, len(letters) + 1):
+            best, before, found_id = -1, 0, 0
+            for start in range(max(0, end - longest_at.get(letters[end - 1], 1)), end):
+                found = known.get(letters[start:end])
+                if found is not None and (best < 0 or cost[start] + found[0] < best):
+                    best, before, found_id = cost[start] + found[0], start, found[1]
+            if best < 0:
+                raw = (_MARK if letters[end - 1] == _LITERAL else letters[end - 1]).encode()
+                cost.append(cost[end - 1] + BYTE_COST * len(raw))
+                self.back.append(end - 1)
+                self.step.append(tuple(self.known.byte_id[b] for b in raw))
+            else:
+                cost.append(best)
+                self.back.append(before)
+                self.step.append((found_id,))
+        self.letters = letters
+        self.window = max(self.window, len(letters))
 
     def _commit(self) -> list[int]:
         """Give out what lies before the last boundary that all living paths go through."""
-        alive = set(range(max(0, len(self.best) - self.known.longest), len(self.best)))
+        n = len(self.letters)
+        alive = set(range(max(0, n + 1 - self.known.longest), n + 1))
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
-            alive.add(self.best[last][1] if self.best[last][1] >= 0 else 0)
+            alive.add(max(0, self.back[last]))
         meeting = alive.pop()
-        if meeting <= 0:
+        if meeting == 0:
             return []
-        ids = self._path(meeting)
-        base = self.best[meeting][0]
+        ids, base = self._path(meeting), self.cost[meeting]
         self.letters = self.letters[meeting:]
-        self.best = [(0, -1, ())] + [(c - base, b - meeting, i) for c, b, i in self.best[meeting + 1 :]]
+        self.cost = [c - base for c in self.cost[meeting:]]
+        self.back = [b - meeting for b in self.back[meeting:]]
+        self.step = self.step[meeting:]
         return ids
 
     def _path(self, end: int) -> list[int]:
         steps = []
         while end > 0:
-            steps.append(self.best[end][2])
-            end = self.best[end][1]
+            steps.append(self.step[end])
+            end = self.back[end]
         return [i for step in reversed(steps) for i in step]
 
     def finish(self) -> list[int]:
-        return self._path(len(self.best) - 1)
+        return self._path(len(self.letters))
 
 
 def segment(text: str, known: Vocabulary) -> list[int]:
     """The ids of one text; a space before it is not added here."""
     search = StreamingViterbi(known)
-    ids: list[int] = []
-    for letter in text.replace(_MARK, _LITERAL).replace(" ", _MARK):
-        ids += search.push(letter)
-    return ids + search.finish()
+    return search.feed(text.replace(_MARK, _LITERAL).replace(" ", _MARK)) + search.finish()
 
 
 @functools.lru_cache(maxsize=4)
