@@ -1,4 +1,4 @@
 """All registered queries of this package."""
 
-from larder.llm import divergence, jaccard, pieces, shards, tiling  # noqa: F401  (registers its query)
+from larder.llm import divergence, jaccard, pieces, pii, shards, tiling  # noqa: F401  (registers its query)
 from larder.llm.common import ORACLES, QUERIES  # noqa: F401
