@@ -11,7 +11,7 @@ from larder.llm.common import read, shared_folder
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep; the references are those of the documents themselves."""
-    return divergence.quality_rules(docs).filter("kept").select(*docs.columns)
+    return divergence.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    judged = tiling.decontaminate(docs.withColumnsRenamed({"coverage": "_coverage", "items": "_items"}), read(spark, sf_dir, "benchmark"))
-    return judged.filter("not contaminated").select(*docs.columns)
+    return tiling.uncontaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +60,32 @@ def stored(df: DataFrame) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def drawn(rows: DataFrame, count: int, *key: str) -> DataFrame:
+    """About ``count`` of the rows, or all if there are fewer, chosen by a hash of their key."""
+    every = -(-rows.count() // count) or 1
+    return rows.filter(F.pmod(F.xxhash64(*key), F.lit(every)) == 0)
+
+
+def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights of a logistic regression, the constant first; a small ridge keeps them finite."""
+    x = np.column_stack([np.ones(len(features)), features])
+    weights = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(len(weights))
+    penalty[0, 0] = 1e-6
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (labels - p) - penalty @ weights)
+        weights = weights + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return weights
+
+
+def probability(weights: np.ndarray, columns: list[Column]) -> Column:
+    """The fitted probability as an expression."""
+    total = F.lit(float(weights[0]))
+    for w, c in zip(weights[1:], columns):
+        total = total + F.lit(float(w)) * c
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))

@@ -199,21 +199,31 @@ def quality_rules(
     where it is not judged. Columns of the table that have the name of a result
     are replaced by it. Repeated rows stay and are judged alike; no rows give no rows.
     """
+    names = documents.columns if keep is None else keep
+    result = _judged(documents, names, references, class_distance, word_distance)
+    made = result.columns[len(names):]
+    return result.select(*[F.col(f"_keep_{i}").alias(n) for i, n in enumerate(names) if n not in made], *made)
+
+
+def passing(documents: DataFrame) -> DataFrame:
+    """The documents that the rules keep, with their own columns alone."""
+    names = documents.columns
+    result = _judged(documents, names, None, CLASS_DISTANCE, WORD_DISTANCE).filter("kept")
+    return result.select(*[F.col(f"_keep_{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _judged(documents: DataFrame, names: list[str], references: DataFrame | None, class_distance: float, word_distance: float) -> DataFrame:
     references = language_references(documents) if references is None else references
-    kept = {f"_keep_{i}": name for i, name in enumerate(documents.columns if keep is None else keep)}
     rows = documents.select(
-        *[F.col(f"`{name}`").alias(k) for k, name in kept.items()], "text", F.coalesce("lang", F.lit("")).alias("lang"))
+        *[F.col(f"`{n}`").alias(f"_keep_{i}") for i, n in enumerate(names)], "text", F.coalesce("lang", F.lit("")).alias("lang"))
     small = F.broadcast(references) if fits(references, LANGUAGES_SENT) else references
     joined = rows.join(small, "lang", "left")
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    judged = joined.mapInArrow(
-        _judge, ", ".join(f"{k} {types[k]}" for k in kept) + f", {_BASE}, word_distance double, class_distance double")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)]]
+    judged = joined.mapInArrow(_judge, ", ".join([*kinds, _BASE, "word_distance double, class_distance double"]))
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (F.lit(100) * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     near = (F.coalesce(F.col("class_distance") <= class_distance, F.lit(True))
             & F.coalesce(F.col("word_distance") <= word_distance, F.lit(True)))
-    result = judged.withColumn("base_failed", failed).withColumn("kept", ~failed & near)
-    made = result.columns[len(kept):]
-    return result.select(*[F.col(k).alias(n) for k, n in kept.items() if n not in made], *made)
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & near)
 
 
 @query("op4_quality_rules")

@@ -159,7 +159,7 @@ def decontaminate(
     documents: DataFrame, benchmark: DataFrame, minimum: int = MIN_TILE, coverage: float = COVERAGE,
     keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """The rows of ``documents(text)`` with ``n_words``, ``items`` found, best ``coverage`` and ``contaminated``.
+    """The rows of ``documents(text)``, or their columns in ``keep``, with ``n_words``, ``items`` found, best ``coverage`` and ``contaminated``.
 
     Words are runs of letters and digits, A-Z in lower case. ``items`` lists
     the items that reach the threshold, largest coverage first; ``coverage`` is
@@ -169,6 +169,27 @@ def decontaminate(
     the name of a result are replaced by it; no rows give no rows.
     """
     names = documents.columns if keep is None else keep
+    rows = _judged(documents, benchmark, names, minimum, coverage, block_bytes)
+    best = F.sort_array(F.transform("_found", lambda x: F.struct(x["coverage"].alias("coverage"), x["item_id"].alias("item_id"))), asc=False)
+    made = {
+        "n_words": F.col("_words"),
+        "items": F.transform(best, lambda x: F.struct(x["item_id"].alias("item_id"), x["coverage"].alias("coverage"))),
+        "coverage": F.coalesce(F.array_max(F.col("_found.coverage")), F.lit(0.0)),
+        "contaminated": F.coalesce(F.size("_found") > 0, F.lit(False)),
+    }
+    return rows.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(names) if c not in made],
+                       *[c.alias(n) for n, c in made.items()])
+
+
+def uncontaminated(documents: DataFrame, benchmark: DataFrame, minimum: int = MIN_TILE, coverage: float = COVERAGE) -> DataFrame:
+    """The documents that hold no item, with their own columns alone."""
+    names = documents.columns
+    rows = _judged(documents, benchmark, names, minimum, coverage, BLOCK_BYTES)
+    clean = rows.filter(F.coalesce(F.size("_found"), F.lit(0)) <= 0)
+    return clean.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(names)])
+
+
+def _judged(documents: DataFrame, benchmark: DataFrame, names: list[str], minimum: int, coverage: float, block_bytes: int) -> DataFrame:
     kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = documents.select(*[F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(names)],
                             F.col("text").alias("_text"), F.lit(None).cast(_FOUND.format(kind=kind)).alias("_found"),
@@ -180,15 +201,7 @@ def decontaminate(
         items = [tuple(r) for r in benchmark.filter(part == k).select("item_id", "text").toLocalIterator()]
         block = documents.sparkSession.sparkContext.broadcast(Block(items, minimum, coverage))
         rows = rows.mapInArrow(_tiled(block, minimum, coverage, kind), rows.schema)
-    best = F.sort_array(F.transform("_found", lambda x: F.struct(x["coverage"].alias("coverage"), x["item_id"].alias("item_id"))), asc=False)
-    made = {
-        "n_words": F.col("_words"),
-        "items": F.transform(best, lambda x: F.struct(x["item_id"].alias("item_id"), x["coverage"].alias("coverage"))),
-        "coverage": F.coalesce(F.array_max(F.col("_found.coverage")), F.lit(0.0)),
-        "contaminated": F.coalesce(F.size("_found") > 0, F.lit(False)),
-    }
-    return rows.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(names) if c not in made],
-                       *[c.alias(n) for n, c in made.items()])
+    return rows
 
 
 @query("op7_decontamination")
