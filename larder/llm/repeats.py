@@ -7,15 +7,13 @@ place, so only windows whose anchor occurs twice can be repeats:
 1. anchors are counted; those that occur once go;
 2. for the others, the bytes that any window of an anchor covers (its context)
    are compared as a whole: of equal contexts all but the first are repeats;
-3. only where an anchor has different contexts are the windows of the first of
-   each compared one by one.
+3. only where an anchor has different contexts are these compared byte by byte:
+   the first of each is sent to its anchor, and a small index over them sorts
+   their windows by content, so that equal ones form runs. A run keeps its first
+   place; the others are marked, neighbours as one span.
 
-Step 3 goes through a run-length index: the windows of a bucket of anchors are
-sorted by content, so that equal ones form runs; a run keeps its first place,
-and every window that is not the first of its run is marked.
-
-All steps are groupings with partial aggregation by 64-bit hashes; texts are
-shuffled only for documents that have something to compare or to remove.
+Anchors with very many places take another way, in which each step is a grouping
+with partial aggregation, so no task gathers all of them.
 """
 
 from __future__ import annotations
@@ -26,13 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.llm import kernel
 from larder.llm.common import query, read, stored
 
 LENGTH = 100
+HOT_PLACES = 100_000  # places of one anchor that may meet in one task
+INDEX_BYTES = 4_000_000  # contexts that are indexed at once, and besides those of one anchor
 RUN = 24  # bytes of the runs whose smallest hash is the anchor
 SIEVE = 1 << 20  # places of the filter that goes out to find the documents concerned
 
@@ -69,7 +69,7 @@ def _groups(windows: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _anchors(length: int, run: int, contexts: bool):
-    """(anchor) of each place, or (anchor, context, doc_id, at, before, after) too."""
+    """(anchor) of each place, or (anchor, context, doc_id, place) too; a place is packed."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,17 +82,87 @@ def _anchors(length: int, run: int, contexts: bool):
                     yield pa.RecordBatch.from_arrays([keys], ["anchor"])
                     continue
                 rows = text.row_of(place)
-                before, after = place - first, last - place
-                shape = (before * (4 * length) + after + length).astype(np.uint64)
+                since_first, since_last = place - first, place - last  # windows begin at their anchor or before it
+                shape = (since_first * (4 * length) + since_last).astype(np.uint64)
                 whole = kernel.mix(text.hashes(first, last + length) ^ (shape * np.uint64(0x9E3779B97F4A7C15)))
+                packed = ((place - text.offsets[rows]) << 32) | (since_first << 16) | since_last
+                yield pa.RecordBatch.from_arrays(
+                    [keys, kernel.signed(whole), batch["doc_id"][at:end].take(pa.array(rows)), pa.array(packed)], ["anchor", "context", "doc_id", "place"])
+
+    return go
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """First and last window of a place, as ``a`` and ``b``."""
+    at = F.shiftright("place", 32)
+    return rows.withColumn("a", (at - F.shiftright("place", 16).bitwiseAND(0xFFFF)).cast("int")).withColumn(
+        "b", (at - F.col("place").bitwiseAND(0xFFFF)).cast("int"))
+
+
+def _contexts(length: int):
+    """(anchor, doc_id, start, bytes) of the contexts that come with each text."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, raw in enumerate(batch["text"].cast(pa.binary())):
+                data = raw.as_py() or b""
+                spans = [s for s in batch["spans"][row].as_py() if s["b"] + length <= len(data)]  # repeated ids may come with another text
                 yield pa.RecordBatch.from_arrays([
-                    keys, kernel.signed(whole), batch["doc_id"][at:end].take(pa.array(rows)), pa.array((place - text.offsets[rows]).astype(np.int32)),
-                    pa.array(before.astype(np.int16)), pa.array(after.astype(np.int16)),
-                ], ["anchor", "context", "doc_id", "at", "before", "after"])
+                    pa.array([s["anchor"] for s in spans], pa.int64()), batch["doc_id"][row : row + 1].take(pa.array(np.zeros(len(spans), np.int64))),
+                    pa.array([s["a"] for s in spans], pa.int32()), pa.array([data[s["a"] : s["b"] + length] for s in spans], pa.binary()),
+                ], ["anchor", "doc_id", "start", "bytes"])
+
+    return go
+
+
+def _indexed(docs: np.ndarray, starts: np.ndarray, pieces: pa.Array, length: int) -> pa.RecordBatch:
+    """(doc_id, a, b) of the stretches of the pieces that repeat an earlier one."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
+    data = np.frombuffer(pieces.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    text = kernel.Text(data, offsets)
+    many = np.maximum(np.diff(offsets) - length + 1, 0)
+    rows = np.repeat(np.arange(len(pieces)), many)
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    windows = text.hashes(offsets[rows] + at, offsets[rows] + at + length)
+    order = np.lexsort((starts[rows] + at, docs[rows], windows))  # runs of equal windows, each from its first place on
+    later = np.zeros(len(order), bool)
+    later[order[1:]] = windows[order[1:]] == windows[order[:-1]]
+    rows, at = rows[later], at[later]
+    new = np.append(True, (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1))[: len(rows)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(rows))[: len(first)] - 1
+    out = [docs[rows[first]], (starts[rows[first]] + at[first]).astype(np.int32), (starts[rows[last]] + at[last] + length).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["doc_id", "a", "b"])
+
+
+def _index(length: int):
+    """Index the contexts of whole anchors, a few megabytes at a time; rows come in order of their anchor."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b["bytes"].nbytes for b in held) < INDEX_BYTES:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            anchors = table["anchor"].to_numpy()
+            cut = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
+            if cut:
+                yield from _one(table.slice(0, cut), length)
+                held = table.slice(cut).to_batches()
+        if held:
+            yield from _one(pa.Table.from_batches(held), length)
 
     return go
 
 
+def _one(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    if table.num_rows:
+        table = table.combine_chunks()
+        yield _indexed(table["doc_id"].to_numpy(), table["start"].to_numpy().astype(np.int64), table["bytes"].chunk(0), length)
+
+
 def _windows(length: int):
     """(window, doc_id, start) of all windows in the spans that come with each text."""
 
@@ -149,45 +219,62 @@ def _concerned(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sieve(documents.sparkSession.sparkContext.broadcast(bits)), rows.schema).drop("_place")
 
 
-def repeat_spans(documents: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
-    """(doc_id, spans): the bytes of each document that repeat, as (start, end) of windows or rows of them; spans may overlap."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.filter("doc_id is not null").select("doc_id", "text")
-    often = rows.select("text").mapInArrow(_anchors(length, run, False), "anchor long").groupBy("anchor").count().filter("count > 1").select("anchor")
-    places = rows.mapInArrow(_anchors(length, run, True), f"anchor long, context long, doc_id {kind}, at int, before short, after short")
-    met = stored(places.join(often, "anchor"))
-    here = F.struct("doc_id", "at")
-    firsts = met.groupBy("anchor", "context").agg(F.min(here).alias("first"), F.first("before").alias("before"), F.first("after").alias("after"))
-    later = met.join(firsts.select("anchor", "context", "first"), ["anchor", "context"]).filter(here != F.col("first")).select(
-        "doc_id", (F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("after") + length).alias("b"))
+def repeat_spans(documents: DataFrame, length: int = LENGTH, run: int = RUN, hot_places: int = HOT_PLACES) -> DataFrame:
+    """(doc_id, spans): the bytes of each document that repeat, as (start, end) of stretches of windows; spans may overlap."""
+    rows = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    often = stored(rows.select("text").mapInArrow(_anchors(length, run, False), "anchor long").groupBy("anchor").count().filter("count > 1"))
+    places = rows.mapInArrow(_anchors(length, run, True), "anchor long, context long, doc_id long, place long")
+    key = F.struct("doc_id", "place")
+    own, all_of = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
+    met = places.join(often.filter(F.col("count") <= hot_places).select("anchor"), "anchor").withColumn("first", F.min(key).over(own) == key).withColumn(
+        "various", F.min("context").over(all_of) != F.max("context").over(all_of))
+    found = stored(_unpacked(met.filter("not first or various").select("anchor", "doc_id", "place", "first")).drop("place"))
+    spans = [found.filter("not first").select("doc_id", "a", (F.col("b") + length).cast("int").alias("b"))]
+    gathered = stored(found.filter("first").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "a", "b")).alias("spans")))
+    contexts = _concerned(rows, gathered).join(gathered, "doc_id").select("doc_id", "text", "spans").mapInArrow(
+        _contexts(length), "anchor long, doc_id long, start int, bytes binary")
+    spans.append(contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index(length), "doc_id long, a int, b int"))
+    hot = often.filter(F.col("count") > hot_places).select("anchor")
+    if not hot.isEmpty():
+        spans += _hot_spans(rows, places.join(hot, "anchor"), length)
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.union(more)
+    return every.groupBy("doc_id").agg(F.collect_list(F.array("a", "b")).alias("spans"))
+
+
+def _hot_spans(rows: DataFrame, places: DataFrame, length: int) -> list[DataFrame]:
+    """Steps 2 and 3 without gathering the places of an anchor: window by window, with partial aggregation."""
+    met = stored(places)
+    key = F.struct("doc_id", "place")
+    firsts = met.groupBy("anchor", "context").agg(F.min(key).alias("first"))
+    later = _unpacked(met.join(firsts, ["anchor", "context"]).filter(key != F.col("first")).select("doc_id", "place"))
     various = firsts.groupBy("anchor").agg(F.min("context").alias("lo"), F.max("context").alias("hi")).filter("lo < hi").select("anchor")
-    open_spans = stored(firsts.join(various, "anchor").select(
-        F.col("first.doc_id").alias("doc_id"), F.array((F.col("first.at") - F.col("before")).cast("int"), (F.col("first.at") + F.col("after")).cast("int")).alias("span"))
-        .groupBy("doc_id").agg(F.collect_list("span").alias("spans")))
-    texts = _concerned(rows, open_spans).join(open_spans, "doc_id")
-    found = stored(texts.select("doc_id", "text", "spans").mapInArrow(_windows(length), f"window long, doc_id {kind}, start int"))
+    kept = _unpacked(firsts.join(various, "anchor").select("first.doc_id", "first.place"))
+    gathered = stored(kept.groupBy("doc_id").agg(F.collect_list(F.array("a", "b")).alias("spans")))
+    windows = stored(_concerned(rows, gathered).join(gathered, "doc_id").select("doc_id", "text", "spans").mapInArrow(
+        _windows(length), "window long, doc_id long, start int"))
     place = F.struct("doc_id", "start")
-    runs = found.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("window", "first")
-    repeats = found.join(runs, "window").filter(place != F.col("first")).select("doc_id", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
-    every = later.select("doc_id", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")).union(
-        repeats.select("doc_id", "a", F.col("b").cast("int")))
-    return every.groupBy("doc_id").agg(F.collect_set(F.array("a", "b")).alias("spans"))
+    runs = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("window", "first")
+    repeats = windows.join(runs, "window").filter(place != F.col("first"))
+    return [later.select("doc_id", "a", (F.col("b") + length).cast("int").alias("b")),
+            repeats.select("doc_id", F.col("start").alias("a"), (F.col("start") + length).cast("int").alias("b"))]
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``documents(doc_id, text)``.
 
-    A byte is removed if a string of ``length`` bytes that covers it also starts
+    Ids are whole numbers. A byte is removed if a string of ``length`` bytes that covers it also starts
     earlier: in a document with a smaller id, or earlier in the same one. Texts
     shorter than that, empty or missing ones lose nothing. A row without an id
     is left as it is and takes part in nothing. Rows with one id are one
     document: equal ones lose the same bytes. Other columns do not matter.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     text = F.coalesce("text", F.lit(""))
     spans = stored(repeat_spans(documents, length, run))
     cut = _concerned(documents, spans).join(spans, "doc_id").select("doc_id", F.xxhash64("text").alias("_text"), "text", "spans").mapInArrow(
-        _cut, f"doc_id {kind}, _text long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "_text"])
+        _cut, "doc_id long, _text long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["doc_id", "_text"])
     whole = documents.select("doc_id", F.xxhash64("text").alias("_text"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     joined = whole.join(cut, ["doc_id", "_text"], "left")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
