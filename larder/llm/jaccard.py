@@ -13,7 +13,7 @@ The boundary between them is where the rows of both together are fewest, given
 how many sets there are of each size. Candidates are verified on whole sets.
 
 Documents with equal sets are one class from the start. A list's members are
-first compared with one pivot; members of one component need no further
+first compared with one pivot, the member that shares most with others; members of one component need no further
 comparison, so a group of near copies costs a row per member and not all pairs.
 Pairs of a list that are still in different components are all compared.
 """
@@ -37,8 +37,9 @@ from larder.session import cut_lineage
 SHINGLE_WORDS = 5
 PERCENT = 80
 LARGEST_LIGHT = 24  # sizes up to which the boundary may lie: beyond, subsets are too many in any case
-STAR_ROUNDS = 5
-_FEW = 4  # all remaining pairs are compared once they are no more than this many times the list rows
+STAR_ROUNDS = 3
+SENT_BYTES = 32_000_000  # hashes of all candidate sets up to which they are broadcast, after a count
+PAIRS_PER_ROW = 40  # all remaining pairs are compared once there are no more of them for each list row
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -167,6 +168,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
     a = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    if (sets.agg(F.sum("n")).first()[0] or 0) * 8 <= SENT_BYTES:
+        a, b = F.broadcast(a), F.broadcast(b)
     shared = F.size(F.array_intersect("sa", "sb"))
     return (pairs.join(b, "b").join(a, "a").withColumn("shared", shared)
             .filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
@@ -178,7 +181,7 @@ def _alike(x: str, y: str, percent: int) -> Column:
 
 
 def _lists(documents: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(token, class, n): the lists that are scanned, of two classes at least."""
+    """(token, class, n, common): the lists that are scanned, of two classes at least."""
     small = {r["n"]: r["count"] for r in sizes.filter(F.col("n").between(1, 2 * LARGEST_LIGHT)).groupBy("n").count().collect()}
     limit = boundary(small, percent)
     keys = documents.select("text").mapInArrow(_keys(size, percent, limit), "token long, class long, n int, light boolean")
@@ -186,10 +189,15 @@ def _lists(documents: DataFrame, sizes: DataFrame, size: int, percent: int) -> D
     met = keys.join(shared.select("token", "rows"), "token").groupBy("class", "n", "light").agg(
         F.sort_array(F.collect_set(F.struct("rows", "token"))).alias("tokens"))
     smallest = f"(1 + (({percent} * n + 99) div 100) div 10)"
-    rare = met.filter(f"light or size(tokens) >= {smallest}").withColumn(
+    # How much of a set others have too: highest for what copies were made from.
+    common = met.withColumn("common", F.expr("cast(if(light, 0, size(tokens) * 1000 div n) as int)"))
+    rare = common.filter(f"light or size(tokens) >= {smallest}").withColumn(
         "tokens", F.expr(f"if(light, tokens, slice(tokens, 1, size(tokens) - cast({smallest} as int) + 1))"))
-    entries = rare.select(F.explode("tokens.token").alias("token"), "class", "n")
-    return stored(entries)
+    entries = stored(rare.select(F.explode("tokens.token").alias("token"), "class", "n", "common"))
+    # Of lists with the same members, one is enough; a list of one is none.
+    members = entries.groupBy("token").agg(F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("n", "class")).alias("y"), F.count(F.lit(1)).alias("rows"))
+    one = members.filter("rows > 1").groupBy("x", "y", "rows").agg(F.min("token").alias("token")).select("token")
+    return cut_lineage(entries.join(one, "token"))
 
 
 def links(documents: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -200,31 +208,41 @@ def links(documents: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS, p
     asked = lists.select("class").distinct().join(firsts, "class").select("doc_id", "class")
     texts = documents.select("doc_id", "text").join(asked, "doc_id")
     sets = stored(texts.select("class", "text").mapInArrow(_arrays(size), "class long, n int, shingles array<long>").dropDuplicates(["class"]))
-    edges = cut_lineage(lists.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0))
-    tried = edges
-    for turn in range(STAR_ROUNDS):
-        labels = components(edges)
+    edges = tried = None
+    for turn in range(STAR_ROUNDS + 1):
         # Lists that still hold two components.
-        own = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        mixed = own.groupBy("token").agg(
-            F.min_by(F.struct("class", "n", "label"), F.xxhash64("class", F.lit(turn)) if turn else F.col("class")).alias("p"),
-            F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+        own = lists.withColumn("label", F.col("class")) if edges is None else lists.join(
+            components(edges).withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        pivot = F.xxhash64("class", F.lit(turn)) if turn else F.struct(-F.col("common"), "class")
+        mixed = own.groupBy("token").agg(F.min_by(F.struct("class", "n", "label"), pivot).alias("p"), F.min("label").alias("lo"),
+                                         F.max("label").alias("hi")).filter("lo < hi")
         left = cut_lineage(own.join(mixed.select("token", "p"), "token"))
-        many, whole = left.count(), left.groupBy("token", "label").count().groupBy("token").agg(
-            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same")).agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0]
-        if not many:
+        sizes = left.groupBy("token", "label").count().groupBy("token").agg(
+            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+        rows, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+        if not rows and edges is not None:
             return edges
-        if turn == STAR_ROUNDS - 1 or (turn and whole <= _FEW * many):
-            break
-        star = left.filter((F.col("label") != F.col("p.label")) & _alike("n", "p.n", percent)).select(
-            F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct()
-        fresh = cut_lineage(star.join(tried, ["a", "b"], "left_anti"))
-        tried = cut_lineage(tried.union(fresh))
-        edges = cut_lineage(edges.union(_verified(fresh, sets, percent)))
-    one, two = left.select("token", "class", "n", "label"), left.select("token", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "label")])
-    rest = one.join(two, "token").filter((F.col("class") < F.col("class2")) & (F.col("label") != F.col("label2")) & _alike("n", "n2", percent))
-    rest = rest.select(F.col("class").alias("a"), F.col("class2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    return cut_lineage(edges.union(_verified(rest, sets, percent)))
+        every = turn == STAR_ROUNDS or (rows or 0) == 0 or turn and pairs <= PAIRS_PER_ROW * rows
+        if every:
+            # A pair is made in the first list that both are in, and nowhere else.
+            whole = left.select("token", "class", "n", "label").join(
+                left.groupBy("class").agg(F.collect_list("token").alias("tokens")), "class")
+            other = whole.select(*[F.col(c).alias(f"{c}2") for c in ("token", "class", "n", "label", "tokens")])
+            asked = whole.join(other, (F.col("token") == F.col("token2")) & (F.col("class") < F.col("class2")) & (F.col("label") != F.col("label2"))
+                               & _alike("n", "n2", percent) & (F.array_min(F.array_intersect("tokens", "tokens2")) == F.col("token")))
+            asked = asked.select(F.col("class").alias("a"), F.col("class2").alias("b"))
+        else:
+            star = left.filter((F.col("label") != F.col("p.label")) & _alike("n", "p.n", percent))
+            asked = star.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct()
+        if tried is not None:
+            asked = asked.join(tried, ["a", "b"], "left_anti")
+        asked = asked if every else cut_lineage(asked)
+        tried = asked if tried is None else tried.union(asked)
+        found = cut_lineage(_verified(asked, sets, percent))
+        edges = found if edges is None else edges.union(found)
+        if every:
+            return edges
+    raise AssertionError("the last round compares all that is left")
 
 
 def jaccard_classes(documents: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
