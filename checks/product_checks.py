@@ -109,6 +109,12 @@ def curate(spark, folder):
     return lean(C.curate(catalog(spark, folder), limit=1000))
 
 
+@check("A6_curate_all", CAT + f"""
+SELECT {LEAN_SQL} FROM catalog WHERE countries_tags ILIKE '%en:canada%'""")
+def curate_all(spark, folder):
+    return lean(C.curate(catalog(spark, folder)))
+
+
 @check("A7_lean_projection", CAT + f"SELECT {LEAN_SQL} FROM catalog")
 def lean_projection(spark, folder):
     return lean(C.lean_projection(catalog(spark, folder)))

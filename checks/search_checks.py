@@ -27,8 +27,9 @@ def holds_sql(guarded: bool) -> str:
     """Test of one constraint ``c`` on the row's amounts."""
     a = amount_sql("c.n")
     guard = f" AND (c.n <> 'energy_kcal_100g' OR {a} > 0)" if guarded else ""
+    equal = f"{a} = c.v" if guarded else f"abs({a} - c.v) <= 1e-6"
     return (f"coalesce(CASE c.o WHEN '<=' THEN {a} <= c.v{guard} WHEN '<' THEN {a} < c.v{guard} WHEN '>=' THEN {a} >= c.v "
-            f"WHEN '>' THEN {a} > c.v WHEN '==' THEN abs({a} - c.v) <= 1e-6 END, FALSE)")
+            f"WHEN '>' THEN {a} > c.v WHEN '==' THEN {equal} END, FALSE)")
 
 
 def passes_sql(cons: str) -> str:

@@ -59,7 +59,9 @@ def normalize_products(df: DataFrame, site: V.Site = V.Site(), country: str = ta
     country_value, country_kind = get("countries_tags")
     has_country = field_column(df, "countries_tags", tables.SEARCH_FIELDS) is not None
     raw_grade = tag_text(*get("nutriscore_grade"))
-    raw_nova = get("nova_group")[0]
+    raw_nova, nova_kind = get("nova_group")
+    if isinstance(nova_kind, T.StringType):  # a text counts only if it is a whole number
+        raw_nova = F.when(F.trim(raw_nova).rlike(r"^[+-]?[0-9]+$"), F.trim(raw_nova))
 
     staged = df.select(
         code.alias("code"),

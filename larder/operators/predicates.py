@@ -142,12 +142,13 @@ def passes_constraints(constraints: Column, allow_missing: bool = False) -> Colu
 
 
 def passes_bounds(constraints: Column) -> Column:
-    """Search form of the check: the calorie guard applies, absent columns do not count."""
+    """Search form of the check: the calorie guard applies, equality is exact, absent columns do not count."""
 
     def test(c: Column) -> Column:
         guard = (c["nutrient"] != KCAL) | ~c["operator"].isin("<", "<=") | (_amount(c) > 0)
         known = F.array_contains(F.map_keys("nutrients"), c["nutrient"])
-        return ~known | F.coalesce(satisfies(c) & guard, F.lit(False))
+        exact = (c["operator"] != "==") | (_amount(c) == c["value"])
+        return ~known | F.coalesce(satisfies(c) & guard & exact, F.lit(False))
 
     return F.forall(constraints, test)
 

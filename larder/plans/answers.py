@@ -121,9 +121,11 @@ def answer_log(
 
 
 def for_log(log: DataFrame, per_text: DataFrame) -> DataFrame:
-    """Rows keyed by text, for every query of the log with that text."""
-    asked = log.select("query_id", "text")
-    return spread_join(asked, per_text.drop("_part"), ["text"], ["query_id"]).drop("_part")
+    """Rows keyed by text, for every query of the log with that text; a missing text is a text of its own."""
+    key = [F.coalesce("text", F.lit("")).alias("_key"), F.col("text").isNull().alias("_missing")]
+    asked = log.select("query_id", *key)
+    joined = spread_join(asked, per_text.drop("_part").select("*", *key), ["_key", "_missing"], ["query_id"])
+    return joined.drop("_part", "_key", "_missing")
 
 
 def cards(ranked: DataFrame) -> DataFrame:

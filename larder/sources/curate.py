@@ -63,25 +63,20 @@ def lean_projection(df: DataFrame, all_columns: bool = False) -> DataFrame:
 def curate(
     df: DataFrame,
     country: str = tables.COUNTRY_TAG,
-    limit: int | None = tables.CURATED_ROWS,
+    limit: int | None = None,
     all_columns: bool = False,
     exact_elements: bool = False,
 ) -> DataFrame:
-    """Keep one country's products, at most ``limit`` of them in code order, in lean form.
+    """Keep one country's products in lean form; all of them, or ``limit`` in code order if asked for.
 
-    The order makes the cut repeatable. The cut-off code is found on the code
-    column alone, so only codes meet in one task; whole rows are filtered where
-    they are, and the last step sees ``limit`` rows plus ties.
+    Products without a code come last. The order makes the cut repeatable.
     """
     value, kind = field(df, "countries_tags", {"countries_tags": ["countries_tags"]})
     test = is_country_record if exact_elements else in_country
     kept = df.filter(test(value, kind, country))
     if limit is not None:
         code, _ = field(df, "code", tables.CURATION_FIELDS)
-        first = kept.select(code.alias("_code")).orderBy("_code").limit(limit)
-        cutoff = first.agg(F.max("_code").alias("_cutoff"))  # one row
-        kept = kept.join(F.broadcast(cutoff), code <= F.col("_cutoff")).drop("_cutoff")
-        kept = kept.orderBy(code).limit(limit)
+        kept = kept.orderBy(code.asc_nulls_last()).limit(limit)
     return lean_projection(kept, all_columns)
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from larder.functions import values as V
 from larder.operators.normalize import normalize_products
 from larder.operators.predicates import folded_labels, has_label
+from larder.sources.curate import curate
 
 
 def one(df):
@@ -62,3 +63,15 @@ def test_nutrients_from_struct_and_hyphens(spark):
     row = one(df)
     assert (row.proteins_100g, row.sugars_100g, row.energy_kcal_100g, row.fat_100g) == (6.3, 56.3, 530.0, None)
     assert sorted(row.nutrients) == ["energy_kcal_100g", "proteins_100g", "sugars_100g"]
+
+
+def test_curation_keeps_every_row_unless_asked(spark):
+    raw = spark.createDataFrame([("2", "en:canada"), (None, "en:canada"), ("1", "en:canada"), ("3", "en:france")], "code string, countries_tags string")
+    assert {r["code"] for r in curate(raw).collect()} == {"1", "2", None}
+    assert [r["code"] for r in curate(raw, limit=3).collect()] == ["1", "2", None]
+    assert [r["code"] for r in curate(raw, limit=2).collect()] == ["1", "2"]
+
+
+def test_processing_group_as_text_must_be_a_whole_number(spark):
+    raw = spark.createDataFrame([("1", "3"), ("2", "3.0"), ("3", " 4 "), ("4", "x")], "code string, nova_group string")
+    assert {r["code"]: r["nova_group"] for r in normalize_products(raw).collect()} == {"1": 3, "2": None, "3": 4, "4": None}

@@ -9,7 +9,7 @@ import larder.plans.joins as joins
 from larder import tables as t
 from larder.operators.normalize import normalize_products
 from larder.plans import search
-from larder.plans.answers import answer_log
+from larder.plans.answers import answer_log, for_log
 from larder.plans.joins import spread_join, substring_pairs
 from larder.plans.recommend import recommend_all
 
@@ -167,3 +167,9 @@ def test_recommendations_leave_out_copies_of_the_reference(products):
     scored = recommend_all(doubled).select("ref_code", "code", "quality", "ref_quality", "rank").collect()
     assert scored and all(r.code != r.ref_code and r.quality > r.ref_quality * 1.05 for r in scored)
     assert all(1 <= r["rank"] <= 5 for r in scored)
+
+
+def test_a_missing_text_is_answered_for_its_queries(spark):
+    log = spark.createDataFrame([(1, None), (2, "tea"), (3, None), (4, "")], "query_id long, text string")
+    per_text = spark.createDataFrame([(None, "x"), ("tea", "y")], "text string, found string")
+    assert {(r["query_id"], r["text"], r["found"]) for r in for_log(log, per_text).collect()} == {(1, None, "x"), (2, "tea", "y"), (3, None, "x")}
