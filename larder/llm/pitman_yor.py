@@ -34,7 +34,7 @@ from larder.session import cut_lineage
 
 HELD_OUT_FOLD = 1
 MODEL_WORDS = 1_000  # words with a context of their own; the model has about the square of it in numbers
-SENT_WORDS = 400_000  # words whose counts go out to all tasks (8 MB); those of all others are joined
+SENT_WORDS = 100_000  # words whose counts go out to all tasks (2 MB); those of all others are joined
 DISCOUNT, STRENGTH = 0.75, 1.0
 SWEEPS, BURN_IN = 6, 2
 EXACT_SEATS = 16  # customers of a dish seated one by one; after them in blocks that double
