@@ -15,7 +15,8 @@ how many sets there are of each size. Candidates are verified on whole sets.
 Documents with equal sets are one class from the start. A list's members are
 first compared with one pivot, the member that shares most with others; members of one component need no further
 comparison, so a group of near copies costs a row per member and not all pairs.
-Pairs of a list that are still in different components are all compared.
+Classes of lists that still hold different components are joined once more, on
+their rarest elements among all these classes' whole sets.
 """
 
 from __future__ import annotations
@@ -200,6 +201,31 @@ def _lists(documents: DataFrame, sizes: DataFrame, size: int, percent: int) -> D
     return cut_lineage(entries.join(one, "token"))
 
 
+def _rare_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of ``left(class, label)`` of two labels that can be linked, each once.
+
+    Two linked sets share one of their rarest elements, if each puts as many in
+    lists as a link could leave without the other's. Elements are ranked by how
+    many of the classes here have them, so what all copies of one text share
+    comes last, and two copies that changed different places meet nowhere. The
+    places of the first element in common bound how many can follow it.
+    """
+    own = left.join(sets, "class")
+    one = own.select("class", "n", "label", F.explode("shingles").alias("token"))
+    counted = one.groupBy("token").count().filter("count > 1")
+    # What a single class has comes first in the order, but meets nothing: only its number matters.
+    met = one.join(counted, "token").groupBy("class", "n", "label").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("met"))
+    listed_here = F.expr(f"greatest(0, n - ({percent} * n + 99) div 100 + 1 - (n - size(met)))")
+    first = met.withColumn("skipped", F.expr("n - size(met)")).withColumn("tokens", F.slice(F.col("met.token"), 1, listed_here.cast("int"))).drop("met")
+    entries = cut_lineage(first.filter("size(tokens) > 0").select("class", "n", "label", "skipped", "tokens", F.posexplode("tokens").alias("place", "token")))
+    other = entries.select(*[F.col(c).alias(f"{c}2") for c in entries.columns])
+    most = F.least(F.col("n") - F.col("skipped") - F.col("place"), F.col("n2") - F.col("skipped2") - F.col("place2"))
+    met_first = F.element_at(F.array_intersect("tokens", "tokens2"), 1) == F.col("token")
+    pairs = entries.join(other, (F.col("token") == F.col("token2")) & (F.col("class") < F.col("class2")) & (F.col("label") != F.col("label2"))
+                         & _alike("n", "n2", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))) & met_first)
+    return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b"))
+
+
 def links(documents: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """(a, b): links between classes that connect all that are linked, no more than needed for it."""
     real = classes.filter("n > 0 and doc_id is not null")
@@ -224,13 +250,7 @@ def links(documents: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS, p
             return edges
         every = turn == STAR_ROUNDS or (rows or 0) == 0 or turn and pairs <= PAIRS_PER_ROW * rows
         if every:
-            # A pair is made in the first list that both are in, and nowhere else.
-            whole = left.select("token", "class", "n", "label").join(
-                left.groupBy("class").agg(F.collect_list("token").alias("tokens")), "class")
-            other = whole.select(*[F.col(c).alias(f"{c}2") for c in ("token", "class", "n", "label", "tokens")])
-            asked = whole.join(other, (F.col("token") == F.col("token2")) & (F.col("class") < F.col("class2")) & (F.col("label") != F.col("label2"))
-                               & _alike("n", "n2", percent) & (F.array_min(F.array_intersect("tokens", "tokens2")) == F.col("token")))
-            asked = asked.select(F.col("class").alias("a"), F.col("class2").alias("b"))
+            asked = _rare_pairs(left.select("class", "label").distinct(), sets, percent)
         else:
             star = left.filter((F.col("label") != F.col("p.label")) & _alike("n", "p.n", percent))
             asked = star.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct()
