@@ -15,8 +15,9 @@ how many sets there are of each size. Candidates are verified on whole sets.
 Documents with equal sets are one class from the start. A list's members are
 first compared with one pivot, the member that shares most with others; members of one component need no further
 comparison, so a group of near copies costs a row per member and not all pairs.
-Classes of lists that still hold different components are joined once more, on
-their rarest elements among all these classes' whole sets.
+Of the lists that still hold different components, short ones compare all
+their pairs; the classes of the others are joined once more, on the rarest
+elements of their whole sets.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ PERCENT = 80
 LARGEST_LIGHT = 24  # sizes up to which the boundary may lie: beyond, subsets are too many in any case
 STAR_ROUNDS = 3
 SENT_BYTES = 32_000_000  # hashes of all candidate sets up to which they are broadcast, after a count
+SHORT_LIST = 40  # members up to which all pairs of a remaining list are compared
+SIGN_BITS = 1024  # of the signature that bounds how much two sets differ
 PAIRS_PER_ROW = 40  # all remaining pairs are compared once there are no more of them for each list row
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -135,8 +138,14 @@ def _keys(size: int, percent: int, boundary: int) -> Kernel:
     return run
 
 
+def _bits(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of elements falls on each place: two sets differ in as many elements as bits, or more."""
+    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % SIGN_BITS, minlength=SIGN_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _arrays(size: int) -> Kernel:
-    """(class, n, shingles) of the texts whose class is the one they came with."""
+    """(class, n, shingles, bits) of the texts whose class is the one they came with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,11 +153,13 @@ def _arrays(size: int) -> Kernel:
                 asked = batch["class"][at : at + len(made)].to_pylist()
                 right = [(k, x) for k, x in zip(asked, made) if len(x) and int(_class(x).view(np.int64)) == k]
                 flat = np.concatenate([x for _, x in right]) if right else np.zeros(0, np.uint64)
+                bits = np.concatenate([_bits(x) for _, x in right]) if right else np.zeros(0, np.int64)
                 ends = np.cumsum([0] + [len(x) for _, x in right]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([k for k, _ in right], pa.int64()), pa.array(np.diff(ends)),
                     pa.ListArray.from_arrays(pa.array(ends), kernel.signed(flat)),
-                ], ["class", "n", "shingles"])
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(right) + 1, dtype=np.int32) * (SIGN_BITS // 64)), pa.array(bits)),
+                ], ["class", "n", "shingles", "bits"])
 
     return run
 
@@ -201,6 +212,16 @@ def _lists(documents: DataFrame, sizes: DataFrame, size: int, percent: int) -> D
     return cut_lineage(entries.join(one, "token"))
 
 
+def _short_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of two labels in a list of ``left``, each made in the first list that both are in."""
+    whole = left.select("token", "class", "n", "label").join(left.groupBy("class").agg(F.collect_list("token").alias("tokens")), "class")
+    other = whole.select(*[F.col(c).alias(f"{c}2") for c in whole.columns])
+    first = F.array_min(F.array_intersect("tokens", "tokens2")) == F.col("token")
+    pairs = whole.join(other, (F.col("token") == F.col("token2")) & (F.col("class") < F.col("class2")) & (F.col("label") != F.col("label2"))
+                       & _alike("n", "n2", percent) & first)
+    return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b"))
+
+
 def _rare_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of ``left(class, label)`` of two labels that can be linked, each once.
 
@@ -208,21 +229,25 @@ def _rare_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lists as a link could leave without the other's. Elements are ranked by how
     many of the classes here have them, so what all copies of one text share
     comes last, and two copies that changed different places meet nowhere. The
-    places of the first element in common bound how many can follow it.
+    places of the first element in common bound how many can follow it, and the
+    bits that differ bound how many elements must be in one set only.
     """
     own = left.join(sets, "class")
-    one = own.select("class", "n", "label", F.explode("shingles").alias("token"))
+    one = own.select("class", F.explode("shingles").alias("token"))
     counted = one.groupBy("token").count().filter("count > 1")
     # What a single class has comes first in the order, but meets nothing: only its number matters.
-    met = one.join(counted, "token").groupBy("class", "n", "label").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("met"))
+    shared = one.join(counted, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("met"))
+    met = shared.join(own.select("class", "n", "label", "bits"), "class")
     listed_here = F.expr(f"greatest(0, n - ({percent} * n + 99) div 100 + 1 - (n - size(met)))")
     first = met.withColumn("skipped", F.expr("n - size(met)")).withColumn("tokens", F.slice(F.col("met.token"), 1, listed_here.cast("int"))).drop("met")
-    entries = cut_lineage(first.filter("size(tokens) > 0").select("class", "n", "label", "skipped", "tokens", F.posexplode("tokens").alias("place", "token")))
+    entries = cut_lineage(first.filter("size(tokens) > 0").select("class", "n", "label", "bits", "skipped", "tokens", F.posexplode("tokens").alias("place", "token")))
     other = entries.select(*[F.col(c).alias(f"{c}2") for c in entries.columns])
     most = F.least(F.col("n") - F.col("skipped") - F.col("place"), F.col("n2") - F.col("skipped2") - F.col("place2"))
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(SIGN_BITS // 64)), F.lit(0))
+    alike = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n2"))
     met_first = F.element_at(F.array_intersect("tokens", "tokens2"), 1) == F.col("token")
     pairs = entries.join(other, (F.col("token") == F.col("token2")) & (F.col("class") < F.col("class2")) & (F.col("label") != F.col("label2"))
-                         & _alike("n", "n2", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))) & met_first)
+                         & _alike("n", "n2", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))) & alike & met_first)
     return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b"))
 
 
@@ -233,7 +258,7 @@ def links(documents: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS, p
     lists = _lists(documents, firsts, size, percent)
     asked = lists.select("class").distinct().join(firsts, "class").select("doc_id", "class")
     texts = documents.select("doc_id", "text").join(asked, "doc_id")
-    sets = stored(texts.select("class", "text").mapInArrow(_arrays(size), "class long, n int, shingles array<long>").dropDuplicates(["class"]))
+    sets = stored(texts.select("class", "text").mapInArrow(_arrays(size), "class long, n int, shingles array<long>, bits array<long>").dropDuplicates(["class"]))
     edges = tried = None
     for turn in range(STAR_ROUNDS + 1):
         # Lists that still hold two components.
@@ -250,7 +275,9 @@ def links(documents: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS, p
             return edges
         every = turn == STAR_ROUNDS or (rows or 0) == 0 or turn and pairs <= PAIRS_PER_ROW * rows
         if every:
-            asked = _rare_pairs(left.select("class", "label").distinct(), sets, percent)
+            counted = left.join(sizes.withColumnRenamed("n", "rows").select("token", "rows"), "token")
+            short, long = counted.filter(F.col("rows") <= SHORT_LIST), counted.filter(F.col("rows") > SHORT_LIST)
+            asked = _short_pairs(short, percent).union(_rare_pairs(long.select("class", "label").distinct(), sets, percent)).distinct()
         else:
             star = left.filter((F.col("label") != F.col("p.label")) & _alike("n", "p.n", percent))
             asked = star.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct()
