@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder import tables
@@ -15,7 +15,8 @@ from larder.operators.intents import (
 from larder.operators.ordering import first_rows
 from larder.operators.scoring import prepare_products, product_card, score_candidates, score_order
 from larder.plans.joins import evenly, spread_join
-from larder.plans.search import add_search_key, complete_intents, level_summary, search_intents
+from larder.plans.recommend import compare_queries
+from larder.plans.search import add_search_key, complete_intents, level_summary, reading, search_intents
 from larder.session import cut_lineage
 
 TEXTS_PER_PART = 500  # texts of one intent scored in one task (50 candidates each)
@@ -24,14 +25,15 @@ TEXTS_PER_PART = 500  # texts of one intent scored in one task (50 candidates ea
 def read_queries(log: DataFrame, tags: dict[str, str] | None = None, translation: str | None = None) -> DataFrame:
     """One row per different text of the log, with its intent and category tag.
 
-    Distinct texts first: repeated phrases are merged inside each task, so a
+    With ``translation`` (a column of the log) a text is read once per translation,
+    which the column ``translation`` of the result holds. Distinct texts first: repeated phrases are merged inside each task, so a
     phrase that makes up a third of the log costs one row per task. The result is
     written once: it is read several times, and a filter on a parsed column must
     not be pushed through the whole parser.
     """
-    columns = ["text"] + ([translation] if translation else [])
-    texts = evenly(log.select(*columns).distinct(), *columns)
-    read = map_categories(extract_constraints(annotate_queries(texts, "text", translation)), tags)
+    asked = log.select("text", *([F.col(translation).alias("translation")] if translation else []))
+    texts = evenly(asked.distinct(), *asked.columns)
+    read = map_categories(extract_constraints(annotate_queries(texts, "text", "translation" if translation else None)), tags)
     return cut_lineage(read.withColumn("raw_text", F.col("text")))
 
 
@@ -47,13 +49,13 @@ def rank_candidates(
     pairs = spread_join(asked, products, ["intent_id"], ["text"], TEXTS_PER_PART, heavy=True)
     pairs = pairs.withColumn("nutrient_constraints", F.get("bounds", F.col("level")))
     scored = score_candidates(pairs, semantic=semantic)
-    return first_rows(scored, ["intent_id", "_part", "text"], score_order(), max_results)
+    return first_rows(scored, ["intent_id", "_part", *reading(queries)], score_order(), max_results)
 
 
 def level_columns(queries: DataFrame) -> DataFrame:
     """Queries with ``intent_id``, ``bounds`` per level and their other intent columns."""
     return add_relaxations(add_search_key(queries)).select(
-        "intent_id", "text", "raw_text", "category", "bounds", "dietary_tags", "search_terms", "ranking_preferences"
+        "intent_id", *reading(queries), "raw_text", "category", "bounds", "dietary_tags", "search_terms", "ranking_preferences"
     )
 
 
@@ -67,7 +69,7 @@ def answer_rows(queries: DataFrame, candidates: DataFrame, max_results: int = ta
     has_text = (F.size(terms) > 0) | (F.size(dietary) > 0) | (F.coalesce(category, F.lit("")) != "")
     healthy = F.array_contains("ranking_preferences", "healthy")
     return summed.select(
-        "text", "language", "normalized_text", "category", "category_tag", "level", "final_constraints",
+        *reading(queries), "language", "normalized_text", "category", "category_tag", "level", "final_constraints",
         interpreted_query(category, bounds, dietary, terms, without, F.col("language")).alias("interpreted"),
         applied_filters(category, bounds, dietary, without).alias("applied_filters"),
         relaxation_log(F.col("level"), has_text).alias("relaxation_log"),
@@ -114,21 +116,68 @@ def answer_log(
     translation: str | None = None,
     semantic: bool = True,
 ) -> Answers:
-    """The whole search job for a log; phrases that compare are left to ``compare_log``."""
+    """The whole search job for a log; phrases that compare are left to :func:`answer_whole_log`."""
     read = read_queries(log, tags, translation)
-    searches = read.filter(F.coalesce("comparison_product", F.lit("")) == "")
-    return answer_intents(products, searches, max_results, semantic)
+    return answer_intents(products, read.filter(~_compares()), max_results, semantic)
 
 
-def for_log(log: DataFrame, per_text: DataFrame) -> DataFrame:
-    """Rows keyed by text, for every query of the log with that text; a missing text is a text of its own."""
-    key = [F.coalesce("text", F.lit("")).alias("_key"), F.col("text").isNull().alias("_missing")]
-    asked = log.select("query_id", *key)
-    joined = spread_join(asked, per_text.drop("_part").select("*", *key), ["_key", "_missing"], ["query_id"])
-    return joined.drop("_part", "_key", "_missing")
+@dataclass(frozen=True)
+class WholeLog:
+    """Both branches of a log, and ``rows``: its texts, which ``branch`` answered each, and how many results it has."""
+
+    searched: Answers
+    compared: DataFrame
+    rows: DataFrame
+
+
+def _compares() -> Column:
+    return F.coalesce("comparison_product", F.lit("")) != ""
+
+
+def answer_read(products: DataFrame, queries: DataFrame, max_results: int = tables.RESULT_ROWS, semantic: bool = True) -> WholeLog:
+    """Search for the queries that search and compare for those that compare; each has a row in ``rows``, also without results."""
+    complete = complete_intents(queries)
+    comparing = complete.filter(_compares())
+    searched = answer_intents(products, complete.filter(~_compares()), max_results, semantic)
+    compared = compare_queries(products, comparing)
+    own = reading(queries)
+    # Queries without results come along as rows that count nothing; grouping also matches missing translations.
+    counted = compared.select(*own, F.lit(1).alias("n")).unionByName(comparing.select(*own, F.lit(0).alias("n")))
+    rows = searched.answers.select(*own, F.lit("search").alias("branch"), "result_rows").unionByName(
+        counted.groupBy(*own).agg(F.sum("n").alias("result_rows")).select(*own, F.lit("compare").alias("branch"), "result_rows"))
+    return WholeLog(searched, compared, rows)
+
+
+def answer_whole_log(
+    products: DataFrame,
+    log: DataFrame,
+    tags: dict[str, str] | None = None,
+    max_results: int = tables.RESULT_ROWS,
+    translation: str | None = None,
+    semantic: bool = True,
+) -> WholeLog:
+    """The whole job for a log: texts are read once, then searched for or compared."""
+    return answer_read(products, read_queries(log, tags, translation), max_results, semantic)
+
+
+def for_log(log: DataFrame, per_text: DataFrame, translation: str | None = None) -> DataFrame:
+    """Rows keyed by text, for every query of the log with that text; a missing text is a text of its own.
+
+    Rows of texts that were read with a translation need the log's column of it.
+    """
+    if ("translation" in per_text.columns) != (translation is not None):
+        raise ValueError("give the log's column of translations if, and only if, the texts were read with it")
+
+    def key(*names: str) -> list[Column]:
+        return [c for i, n in enumerate(names) for c in (F.coalesce(n, F.lit("")).alias(f"_key{i}"), F.col(n).isNull().alias(f"_missing{i}"))]
+
+    asked = log.select("query_id", *key("text", *([translation] if translation else [])))
+    keyed = per_text.drop("_part").select("*", *key(*reading(per_text)))
+    keys = [c for c in asked.columns if c != "query_id"]
+    return spread_join(asked, keyed, keys, ["query_id"]).drop("_part", *keys)
 
 
 def cards(ranked: DataFrame) -> DataFrame:
     """The ranked results as flat cards."""
     card = product_card()
-    return ranked.select("text", "rank", "score", *[c.alias(n) for n, c in card.items()], "explanations")
+    return ranked.select(*reading(ranked), "rank", "score", *[c.alias(n) for n, c in card.items()], "explanations")

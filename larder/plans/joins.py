@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.session import cut_lineage
+
 # Rows up to which a side may be broadcast, after counting them.
 BROADCAST_ROWS = 20_000
+# Bytes (written out as JSON) up to which those rows may be broadcast.
+BROADCAST_BYTES = 32_000_000
 # Rows of one key that may meet in one task before the key is split.
 ROWS_PER_PART = 500_000
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the table has at most this many rows; counting stops right after."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the table has at most this many rows and bytes; counting stops right after the rows."""
+    counted = df.select(F.octet_length(F.to_json(F.struct("*"))).alias("_bytes")).limit(rows + 1)
+    found = counted.agg(F.count(F.lit(1)), F.sum(F.col("_bytes").cast("long"))).first()
+    return found[0] <= rows and (found[1] or 0) <= size
 
 
 def shuffle_parts(df: DataFrame) -> int:
@@ -38,14 +44,15 @@ def spread_join(
     The parts come from counted loads, so ``small`` is repeated for hot keys
     only. The part of a row is a hash of ``split_by``: the same row lands in
     the same part when a lost task is run again. The load table has at most
-    rows(big) / rows_per_part rows, which is what makes broadcasting it safe.
+    rows(big) / rows_per_part rows; it is stored, and broadcast if it is counted to be small.
     ``heavy`` says that the joined rows are few bytes but much work.
     Keeps the column ``_part``: windows over the keys plus finer columns can
     include it and need no second shuffle.
     """
     per_part = rows_per_part or ROWS_PER_PART
     loads = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > per_part)
-    parts = F.broadcast(loads.select(*keys, F.ceil(F.col("_rows") / per_part).cast("int").alias("_parts")))
+    parts = cut_lineage(loads.select(*keys, F.ceil(F.col("_rows") / per_part).cast("int").alias("_parts")))
+    parts = F.broadcast(parts) if fits(parts) else parts
     part_of = F.pmod(F.xxhash64(*split_by), F.coalesce("_parts", F.lit(1))).cast("int")
     left = big.join(parts, keys, "left").withColumn("_part", part_of).drop("_parts")
     right = (

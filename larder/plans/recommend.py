@@ -18,7 +18,7 @@ from larder.operators.predicates import text_tokens
 from larder.operators.quality import add_quality
 from larder.operators.recommend import improvements
 from larder.plans.joins import checked_join, spread_join
-from larder.plans.search import add_search_key, complete_intents, search_intents, search_mentions
+from larder.plans.search import add_search_key, complete_intents, reading, search_intents, search_mentions
 from larder.session import cut_lineage
 
 COMPARED = ["code", "name", "quality", "nutriscore", "nova_group", "additives_count",
@@ -103,8 +103,9 @@ def compare_queries(products: DataFrame, queries: DataFrame, keep: int = tables.
     reference product's first category makes the pool; without one the query's
     category does, and without that its search terms do.
     """
+    own = reading(queries)
     asked = cut_lineage(complete_intents(queries).filter(F.coalesce("comparison_product", F.lit("")) != "").select(
-        "text", strip(F.col("comparison_product")).alias("target"),
+        *own, strip(F.col("comparison_product")).alias("target"),
         F.col("category").alias("own_category"), F.col("search_terms").alias("own_terms"),
     ))
     references = cut_lineage(reference_products(products, asked.select("target").distinct()))
@@ -113,7 +114,7 @@ def compare_queries(products: DataFrame, queries: DataFrame, keep: int = tables.
     pooled = known.withColumn("category", F.coalesce("ref_category", F.nullif("own_category", F.lit(""))))
     terms = F.when(F.col("category").isNull(), F.col("own_terms")).otherwise(F.array().cast("array<string>"))
     pooled = add_search_key(pooled.withColumn("search_terms", terms)).select(
-        "text", "target", "category", "search_terms", "intent_id", *[f"ref_{c}" for c in COMPARED]
+        *own, "target", "category", "search_terms", "intent_id", *[f"ref_{c}" for c in COMPARED]
     )
     pools = pooled.select("category", "search_terms").distinct()
     lists = pool_lists(best_of_pools(category_pools(products, pools), keep))

@@ -58,6 +58,11 @@ def complete_intents(intents: DataFrame) -> DataFrame:
     return intents.withColumns(filled)
 
 
+def reading(queries: DataFrame) -> list[str]:
+    """The columns that tell queries apart: the text, and its translation if it was read with one."""
+    return ["text"] + [c for c in ("translation",) if c in queries.columns]
+
+
 def _longest(pieces: Column) -> Column:
     """The longest piece, the alphabetically last among equals."""
     return F.array_max(

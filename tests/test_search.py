@@ -9,8 +9,8 @@ import larder.plans.joins as joins
 from larder import tables as t
 from larder.operators.normalize import normalize_products
 from larder.plans import search
-from larder.plans.answers import answer_log, for_log
-from larder.plans.joins import spread_join, substring_pairs
+from larder.plans.answers import answer_log, answer_read, answer_whole_log, for_log
+from larder.plans.joins import fits, spread_join, substring_pairs
 from larder.plans.recommend import recommend_all
 
 RNG = random.Random(11)
@@ -173,3 +173,43 @@ def test_a_missing_text_is_answered_for_its_queries(spark):
     log = spark.createDataFrame([(1, None), (2, "tea"), (3, None), (4, "")], "query_id long, text string")
     per_text = spark.createDataFrame([(None, "x"), ("tea", "y")], "text string, found string")
     assert {(r["query_id"], r["text"], r["found"]) for r in for_log(log, per_text).collect()} == {(1, None, "x"), (2, "tea", "y"), (3, None, "x")}
+
+
+@pytest.fixture(scope="module")
+def cookies(spark):
+    rows = [("20", "Classic Butter Cookies", "cookies", ["en:cookies"], "e", 6.0, 20.0),
+            ("21", "Plain Milk", "milk", ["en:milk"], "b", 3.0, 5.0),
+            ("22", "Oat Cookies", "cookies", ["en:cookies"], "a", 9.0, 2.0)]
+    return normalize_products(spark.createDataFrame(
+        rows, "code string, product_name string, categories string, categories_tags array<string>, "
+              "nutriscore_grade string, proteins_100g double, sugars_100g double")).cache()
+
+
+def test_a_whole_log_has_each_query_once(spark, cookies):
+    french = "biscuits sans gluten ni lait"
+    log = spark.createDataFrame(
+        [(1, None, None), (2, "milk", None), (3, "milk", "milk"), (4, "healthier alternative to classic butter cookies", None),
+         (5, "healthier alternative to xyznonexistent", None), (6, french, "cookies"), (7, french, "milk"), (8, french, "cookies")],
+        "query_id long, text string, english string")
+    whole = answer_whole_log(cookies, log, {"milk": "en:milk", "cookies": "en:cookies"}, translation="english")
+    rows = {r["query_id"]: (r["branch"], r["result_rows"]) for r in for_log(log, whole.rows, "english").collect()}
+    assert for_log(log, whole.rows, "english").count() == 8 and sorted(rows) == list(range(1, 9))
+    assert {k for k, v in rows.items() if v[0] == "compare"} == {4, 5}
+    assert rows[4] == ("compare", 1) and rows[5] == ("compare", 0)
+    assert [(r["ref_code"], r["code"]) for r in whole.compared.collect()] == [("20", "22")]
+    ranked = for_log(log, whole.searched.ranked, "english").select("query_id", "rank").collect()
+    assert len(ranked) == len(set(ranked))  # two translations of a text do not double its results
+    with pytest.raises(ValueError):
+        for_log(log, whole.rows)
+
+
+def test_ready_made_comparisons_are_compared(spark, cookies):
+    asked = spark.createDataFrame([("a", "classic butter cookies", []), ("b", None, ["oat"])],
+                                  "text string, comparison_product string, search_terms array<string>")
+    whole = answer_read(cookies, asked)
+    assert {(r["text"], r["branch"], r["result_rows"]) for r in whole.rows.collect()} == {("a", "compare", 1), ("b", "search", 1)}
+
+
+def test_fits_counts_rows_and_bytes(spark):
+    few = spark.range(3).withColumn("x", F.repeat(F.lit("ab"), 100))
+    assert fits(few) and not fits(few, rows=2) and not fits(few, size=300)
