@@ -279,6 +279,39 @@ def test_pitman_yor(documents, nothing):
     assert pitman_yor.train(nothing).tokens == 0
 
 
+def test_pitman_yor_every_word_is_a_context(spark):
+    texts = [f"a{k} b{k}" for k in range(40) for _ in range(3)] + ["the"] * 500
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(k, f"a7 b{k}") for k in range(40)] + [(51, "a7 a9"), (61, "a7 new")], "doc_id long, text string")
+    model = pitman_yor.train(table, model_words=1)
+    for sent, pairs in ((3, 0), (1_000, 1_000)):
+        got = {i: r["score"] for i, r in by_id(pitman_yor.score(asked, model, sent, pairs)).items()}
+        assert all(got[7] > got[k] + 1 for k in [*range(7), *range(8, 40), 51, 61]), got  # only this pair was seen
+
+
+def test_pitman_yor_contexts_share_out_one(spark):
+    table = spark.createDataFrame([(k, t) for k, t in enumerate(["x y x z", "x y y", "z x y w", "w v"] * 5)], "doc_id long, text string")
+    model = pitman_yor.train(table, model_words=2)
+    words = {r["word"]: r for r in model.words.collect()}
+    gains = {r["pair"]: r["gain"] for r in model.pairs.collect()}
+    known = [int(w) for w in model.known.view(np.int64)]
+    strength = pitman_yor.STRENGTH + pitman_yor.DISCOUNT * model.other_tables
+    share = lambda r: (max(r["n"] - pitman_yor.DISCOUNT * r["tables"], 0) + strength / (model.different + 1)) / (pitman_yor.STRENGTH + model.other_total)
+    for context in [0, *words]:
+        kind = 3 if context == 0 else known.index(context) if context in known else 2
+        back = model.back_of_beginning if context == 0 else words[context]["back"]
+        total = seen = 0
+        for dish in [0, *words]:
+            below = 10 ** model.table[kind, 3 if dish == 0 else known.index(dish) if dish in known else 2]
+            if dish and dish not in known:
+                below *= share(words[dish])
+                seen += share(words[dish])
+            pair = pitman_yor._pair_keys(*np.array([[context], [dish]], np.int64).view(np.uint64)).view(np.int64)[0]
+            total += 10 ** (back + gains.get(pair, 0.0)) * below
+        unseen = 10 ** (back + model.table[kind, 2]) * (1 - seen)
+        assert math.isclose(total + unseen, 1, rel_tol=1e-6)
+
+
 def test_seats():
     counts = np.array([1, 1, 5, 400])
     tables = np.mean([pitman_yor.seat(counts, np.full(4, 2.0), np.random.default_rng(k)) for k in range(200)], axis=0)
