@@ -98,15 +98,17 @@ class Block:
         probes: dict[int, list[tuple[np.ndarray, int]]] = {}
         for number, (places, keys, size) in enumerate(seeds):
             n = len(self.items[number][1])
-            often = np.argsort(-counts[np.searchsorted(known, keys)], kind="stable")
+            own, at = np.unique(keys, return_inverse=True)
+            by_key, ends = places[np.argsort(at, kind="stable")], np.cumsum(np.bincount(at))
             left = np.zeros(n, bool)
-            skipped = set()
-            for k in often:  # the most frequent seeds go while they alone could not reach the threshold
-                left[places[k] : places[k] + size] = True
+            asked = own
+            often = np.argsort(-counts[np.searchsorted(known, own)], kind="stable")
+            for done, k in enumerate(often):  # the most frequent seeds go, from all their places, while they alone could not reach the threshold
+                for place in by_key[ends[k - 1] if k else 0 : ends[k]]:
+                    left[place : place + size] = True
                 if left.sum() >= coverage * n:
+                    asked = own[np.sort(often[done:])]
                     break
-                skipped.add(int(keys[k]))
-            asked = np.array([k for k in np.unique(keys) if int(k) not in skipped], np.uint64)
             probes.setdefault(size, []).append((asked, number))
         self.probes = {}
         for size, found in probes.items():

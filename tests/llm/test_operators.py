@@ -166,6 +166,19 @@ def test_decontamination(spark, documents, nothing, block_bytes):
     assert tiling.uncontaminated(documents, benchmark).columns == documents.columns
 
 
+def test_seed_pruning_of_periodic_items():
+    rng = np.random.default_rng(4)
+    phrase = "a b c d e f g h"
+    texts = [" ".join([phrase] * 3), " ".join(["x y"] * 9), "one two three four " + " ".join([phrase] * 2), *[" ".join(rng.choice(list("abc"), 14)) for _ in range(60)]]
+    block = tiling.Block(list(enumerate(texts)), tiling.MIN_TILE, tiling.COVERAGE)
+    items = [w for _, w in block.items]
+    for number, item in enumerate(items):
+        for document in (item, item[: len(item) // 2 + 1], np.concatenate([item[7:], item[:7]])):
+            found = {n for _, n in block.candidates(document, np.zeros(len(document), np.int64))}
+            want = {n for n, w in enumerate(items) if 2 * sum(x[2] for x in tiling.tile(w, document)) >= len(w)}
+            assert want <= found, (number, want - found)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
