@@ -211,6 +211,21 @@ def test_trees_add_loose_spans(spark):
         assert all(a["end"] <= b["start"] or b["end"] <= a["start"] for a in strict for b in r["spans"] if not b["strict"])
 
 
+def test_trees_find_rewritten_forms(spark):
+    rng = np.random.default_rng(8)
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    rows = [(k, f"{prose(6)} mail bob{k}@host{k % 7}.example.org now {prose(5)} phone +49 30 {number(7)} {prose(4)}" if k % 2 else prose(20)) for k in range(600)]
+    asked = {900: ("mail amy (at) place (dot) com now", "email"), 901: ("please mail amy[at]place[dot]org", "email"),
+             902: ("and phone 49 30 1234567 the house", "phone"), 903: ("the river 20240517 house", None)}
+    table = spark.createDataFrame([*rows, *[(i, text) for i, (text, _) in asked.items()]], "doc_id long, text string")
+    scorer = pii.fit(table)
+    found = by_id(pii.personal_data(table, scorer))
+    clean = by_id(pii.redact(table, scorer))
+    for i, (text, kind) in asked.items():
+        assert [(s["kind"], s["strict"]) for s in found[i]["spans"]] == ([(kind, False)] if kind else []), i
+        assert (f"[{kind}]" in clean[i]["text"]) if kind else clean[i]["text"] == text
+
+
 def test_pieces_round_trip(documents, nothing):
     path = pieces.default_vocabulary()
     known = pieces.vocabulary(path)
