@@ -40,6 +40,8 @@ REPORTS = "said says say called quoted reported wrote claims allegedly sagte sag
 SYMBOLS = ("other", "insult", "threat", "target", "negation", "report")
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n"]] = True
+_OPENS = np.zeros(256, bool)  # breaks that what is reported goes on after, right behind the report word
+_OPENS[[ord(c) for c in ",:"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[0x80:] = True
 _LETTER[ord("'")] = True
@@ -85,7 +87,7 @@ def _negation() -> Transducer:
 
 
 def _report() -> Transducer:
-    """What is reported counts half up to the end of the clause."""
+    """What is reported counts half up to the end of the clause; a report word right before ',' or ':' is read again after it."""
     arcs: dict = {(0, "report"): (1, 1.0)}
     for symbol in ("insult", "threat"):
         arcs[1, symbol] = (1, 0.5)
@@ -136,12 +138,16 @@ class Lexicon:
         self.machine = grammar()
 
 
-def _tokens(text: kernel.Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and clause of each word."""
+def _tokens(text: kernel.Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row and clause of each word, and whether a single ',' or ':' parts it from the word before."""
     starts, ends = text.spans(_LETTER[text.data])
     breaks = np.cumsum(_BREAK[text.data])
     rows = text.row_of(starts)
-    return text.hashes(starts, ends), rows, breaks[starts] + rows if len(starts) else np.zeros(0, np.int64)
+    clauses = breaks[starts] + rows if len(starts) else np.zeros(0, np.int64)
+    opens = np.cumsum(_OPENS[text.data])[starts] if len(starts) else clauses
+    opened = np.zeros(len(starts), bool)
+    opened[1:] = (np.diff(rows) == 0) & (np.diff(clauses) == 1) & (np.diff(opens) == 1)
+    return text.hashes(starts, ends), rows, clauses, opened
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +156,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = np.array(batch["toxic"].to_pylist(), np.int64)
         for at, end, data, offsets in kernel.slices(batch["text"]):
-            hashes, rows, _ = _tokens(kernel.Text(data, offsets, lower=True))
+            hashes, rows, _, _ = _tokens(kernel.Text(data, offsets, lower=True))
             _, first = np.unique(kernel.per_row(hashes, rows), return_index=True)
             label = toxic[at:end][rows[first]]
             all_keys = np.concatenate([keys, hashes[first]])
@@ -184,13 +190,14 @@ def _features(lexicon: Broadcast):
         for batch in batches:
             names = [n for n in batch.schema.names if n != "_text"]
             for at, end, data, offsets in kernel.slices(batch["_text"]):
-                hashes, rows, clauses = _tokens(kernel.Text(data, offsets, lower=True))
+                hashes, rows, clauses, opened = _tokens(kernel.Text(data, offsets, lower=True))
                 place = np.minimum(np.searchsorted(known.keys, hashes), len(known.keys) - 1)
                 place = np.where(known.keys[place] == hashes, place, -1)
                 top, total, many = np.zeros(end - at), np.zeros(end - at), np.zeros(end - at)
                 for clause in np.unique(clauses[heavy[place]]):
                     lo, hi = np.searchsorted(clauses, clause, "left"), np.searchsorted(clauses, clause, "right")
-                    own = place[lo:hi]
+                    goes_on = opened[lo] and place[lo - 1] >= 0 and known.symbols[place[lo - 1]] == "report"
+                    own = place[lo - 1 if goes_on else lo : hi]
                     score = clause_score(known.machine, ["other" if k < 0 else known.symbols[k] for k in own],
                                          [0.0 if k < 0 else known.weights[k] for k in own])
                     row = rows[lo]

@@ -370,6 +370,14 @@ def test_grammar():
     assert score("negation", "other", "other", "other", "insult") == 1
 
 
+def test_report_goes_on_after_a_comma_or_colon(spark):
+    texts = {"you idiot": 1.25, "he said: you idiot": 0.625, 'She wrote, "you idiot"': 0.625, "he said. you idiot": 1.25, "he said: no; you idiot": 1.25,
+             "the house, you idiot": 1.25, "he said:, you idiot": 1.25, "he said you idiot": 0.625, "he said\nyou idiot": 1.25, "he said: you idiot, you idiot": 1.25}
+    table = spark.createDataFrame([*enumerate(texts), (99, "she said"), (100, ", you idiot")], "doc_id long, text string")
+    got = by_id(toxicity.features(table.coalesce(1), [(int(toxicity._hashes(["idiot"])[0]), 1.0)], ["doc_id"]))
+    assert [got[k]["_f0"] for k in range(len(texts))] == list(texts.values()) and got[100]["_f0"] == 1.25
+
+
 def test_toxicity(spark, documents, nothing):
     rows = [(k, prose(30) + (". you idiot " if k % 4 == 0 else ". ") + prose(10)) for k in range(400)] + [(900, None), (901, "")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
