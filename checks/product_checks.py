@@ -15,6 +15,7 @@ from larder.operators.predicates import Bound, Query, search_one
 from larder.operators.quality import add_quality
 from larder.operators.recommend import improvements
 from larder.operators.scoring import product_text
+from larder.plans.places import add_places
 from larder.plans.recommend import COMPARED
 from larder.session import cut_lineage
 from larder.sources import curate as C
@@ -447,22 +448,27 @@ def lookup(spark, folder):
 # ---- D: order and limits ---------------------------------------------------
 
 
-def _per_brand(name: str, kids: bool, strict: bool, limit: int) -> None:
+def _per_brand(name: str, kids: bool, strict: bool) -> None:
     order = o.order_sql(str(kids).upper(), str(strict).upper())
 
-    @check(name, PROD + f"""
-SELECT brands, code, place FROM (
-  SELECT brands, code, row_number() OVER (PARTITION BY brands ORDER BY {order}) AS place FROM prod) WHERE place <= {limit}""")
+    @check(name, PROD + f"SELECT brands, code, row_number() OVER (PARTITION BY brands ORDER BY {order}) AS place FROM prod")
     def query(spark, folder):
-        rows = ordering.first_rows(
-            products(spark, folder), ["brands"], ordering.candidate_order(kids, strict), limit, "place")
-        return rows.select("brands", "code", whole("place"))
+        slim = products(spark, folder).select("brands", "code", *ordering.ORDERED_BY)
+        return add_places(slim, ["brands"], ordering.candidate_order(kids, strict)).select("brands", "code", "place")
+
 
+_per_brand("D1_candidate_order", False, False)
+_per_brand("D3_kids_order", True, False)
+_per_brand("D4_strict_order", False, True)
 
-_per_brand("D1_candidate_order", False, False, 50)
-_per_brand("D3_kids_order", True, False, 50)
-_per_brand("D4_strict_order", False, True, 50)
-_per_brand("D5_limit_per_group", True, True, ordering.page_limit(None, None))
+
+@check("D5_limit_per_group", PROD + f"""
+SELECT brands, code, place FROM (
+  SELECT brands, code, row_number() OVER (PARTITION BY brands ORDER BY {o.order_sql("TRUE", "TRUE")}) AS place FROM prod)
+WHERE place <= {ordering.page_limit(None, None)}""")
+def limit_per_group(spark, folder):
+    rows = ordering.first_rows(products(spark, folder), ["brands"], ordering.candidate_order(True, True), ordering.page_limit(None, None), "place")
+    return rows.select("brands", "code", whole("place"))
 
 
 @check("D2_nutrition_heuristic", PROD + "SELECT code, round(CAST(heuristic AS DOUBLE), 6) AS heuristic FROM prod")

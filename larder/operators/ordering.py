@@ -34,6 +34,13 @@ def nutrition_heuristic() -> Column:
     )
 
 
+# The columns that candidates are ordered by.
+ORDERED_BY = [
+    "grade_points", "nova_points", "energy_kcal_100g", "proteins_100g", "sugars_100g", "sodium_100g", "fiber_100g", "unique_scans_n",
+    "name_text",
+]
+
+
 def candidate_order(kids: Column | bool, strict: Column | bool) -> list[Column]:
     """Sort keys of search candidates.
 
