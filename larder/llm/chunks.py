@@ -48,7 +48,7 @@ def spans(text: kernel.Text, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Memory:
-    """The ids of the chunks seen so far, by hash."""
+    """The ids of the chunks seen so far, by hash; the bytes of a chunk are compared with those it was learned from."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], breaks: np.ndarray = kernel.SPACE) -> None:
         self.encode = encode
@@ -57,26 +57,32 @@ class Memory:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
-
-    def learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        self.ids_at, self.ids_many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes_at, self.bytes_many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pools = {"ids": np.zeros(1 << 16, np.int32), "bytes": np.zeros(1 << 18, np.uint8)}
+        self.used = {"ids": 0, "bytes": 0}
+
+    def _append(self, pool: str, values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Where each of the pieces begins in the pool."""
+        used, old = self.used[pool], self.pools[pool]
+        if used + len(values) > len(old):
+            self.pools[pool] = old = np.concatenate([old, np.zeros(max(len(values), len(old)), old.dtype)])
+        old[used : used + len(values)] = values
+        self.used[pool] = used + len(values)
+        return used + np.cumsum(lengths) - lengths
+
+    def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         if len(self.keys) + len(keys) > KNOWN_CHUNKS:
             self.clear()
-        ids = self.encode(chunks)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.int32, lengths.sum())
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool)), np.int32)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        starts = self.used + np.cumsum(lengths) - lengths
-        self.used += len(flat)
+        ids = self.encode([p.decode() for p in pieces])
+        many = np.fromiter(map(len, ids), np.int64, len(ids))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids_at = self._append("ids", np.fromiter((x for one in ids for x in one), np.int32, many.sum()), many)
+        bytes_at = self._append("bytes", np.frombuffer(b"".join(pieces), np.uint8), sizes)
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.starts = np.insert(self.starts, at, starts)
-        self.lengths = np.insert(self.lengths, at, lengths)
+        self.ids_at, self.ids_many = np.insert(self.ids_at, at, ids_at), np.insert(self.ids_many, at, many)
+        self.bytes_at, self.bytes_many = np.insert(self.bytes_at, at, bytes_at), np.insert(self.bytes_many, at, sizes)
 
     def ids(self, text: kernel.Text) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and how many each text has."""
@@ -90,8 +96,21 @@ class Memory:
             new[:] = True
         if new.any():
             raw = text.data.tobytes()
-            self.learn(keys[new], [raw[starts[k] : ends[k]].decode() for k in first[new]])
-        at = np.searchsorted(self.keys, keys)
-        lengths = self.lengths[at][place]
+            self.learn(keys[new], [raw[starts[k] : ends[k]] for k in first[new]])
+        at = np.searchsorted(self.keys, keys)[place]
+        # The chunks in a row are the text, so the chunks they were learned from must be it too.
+        sizes = self.bytes_many[at]
+        if not (np.array_equal(sizes, ends - starts) and np.array_equal(gather(self.pools["bytes"], self.bytes_at[at], sizes), text.data)):
+            return self._plain(text, starts, ends)
+        lengths = self.ids_many[at]
         counts = np.bincount(text.row_of(starts), lengths, text.rows).astype(np.int64)
-        return gather(self.pool, self.starts[at][place], lengths), counts
+        return gather(self.pools["ids"], self.ids_at[at], lengths), counts
+
+    def _plain(self, text: kernel.Text, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without hashes, for texts in which two chunks share one."""
+        raw = text.data.tobytes()
+        pieces = [raw[s:e] for s, e in zip(starts, ends)]
+        different = list(dict.fromkeys(pieces))
+        known = dict(zip(different, self.encode([p.decode() for p in different])))
+        counts = np.bincount(text.row_of(starts), [len(known[p]) for p in pieces], text.rows).astype(np.int64)
+        return np.fromiter((x for p in pieces for x in known[p]), np.int32, counts.sum()), counts

@@ -135,7 +135,6 @@ def _memory(path: str) -> tuple[chunks.Memory, int]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
     encode = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     return chunks.Memory(encode), 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
 

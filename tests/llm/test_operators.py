@@ -263,7 +263,6 @@ def test_shards(spark, documents, nothing, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(shards.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     folder = f"file://{tmp_path}/ids"
     manifest = shards.write_shards(documents, shards.default_tokenizer(), folder)
     got = shards.read_shards(manifest, folder).collect()
