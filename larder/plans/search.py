@@ -4,14 +4,16 @@ A query asks for products whose text contains its category, words and labels
 and whose nutrients lie within its bounds, in one product order with two
 switches. That is planned as joins, not as one query after the other:
 
-1. Intents are deduplicated; each gets one *probe*, the most selective text it
-   needs (category, else keyword, else dietary label, else none).
+1. Intents are deduplicated; each gets one *probe*, the text it needs that the
+   fewest products offer (:mod:`larder.plans.probes`).
 2. The catalog's distinct tags or words are matched to the distinct probe texts
-   by substring (:func:`substring_pairs`). Products and intents then meet in an
+   by substring. Products and intents then meet in an
    equi-join on the probe, and the full predicates are checked on each pair.
 3. Most intents find enough among the first products of their probe. So the
    first ``HEAD_ROWS`` products per probe, in result order, are tried first.
-   Whoever is not served completely by them goes against all its products.
+   Whoever is not served completely by them goes against all its products: at
+   once if the counted loads are small, else by blocks whose
+   amounts its bounds allow, best block first (:mod:`larder.plans.blocks`).
 
 Relaxation costs no further run: bounds of all levels are tested on a pair, the
 lowest level that passes is kept, and an intent keeps its lowest level only.
@@ -24,14 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder import tables
-from larder.functions.text import strings, strip, tokens
 from larder.operators.intents import add_relaxations
 from larder.operators.ordering import candidate_order, first_rows, nutrition_heuristic
 from larder.operators.predicates import (
     CONSTRAINT_TYPE, has_diets, keyword_list, known_diets, loosest_limits, mentions_all, passes_bounds,
     present_nutrients, within_limits, without_ingredients,
 )
-from larder.plans.joins import checked_join, fits, spread_join, substring_pairs
+from larder.plans import blocks
+from larder.plans.joins import checked_join, spread_join
+from larder.plans.probes import PROBE, ROW, add_row_key, choose_probes, offers_for, probe_texts
 from larder.session import cut_lineage
 
 HEAD_ROWS = 1000  # Spark's own limit for cutting groups down before the shuffle
@@ -45,8 +48,8 @@ INTENT_COLUMNS = {
     "ranking_preferences": "array<string>",
     "excluded_ingredients": "array<string>",
 }
-PROBE = ["kind", "pattern"]
 INTENTS_PER_PART = 50  # intents of one probe that try its head in one task
+PAIRS_AT_ONCE = 2_000_000  # counted pairs of intents and products up to which an index of blocks is not worth building
 
 
 def complete_intents(intents: DataFrame) -> DataFrame:
@@ -63,13 +66,6 @@ def reading(queries: DataFrame) -> list[str]:
     return ["text"] + [c for c in ("translation",) if c in queries.columns]
 
 
-def _longest(pieces: Column) -> Column:
-    """The longest piece, the alphabetically last among equals."""
-    return F.array_max(
-        F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("text")))
-    )["text"]
-
-
 def add_search_key(intents: DataFrame) -> DataFrame:
     """Add ``intent_id`` and the columns searching works with.
 
@@ -86,61 +82,6 @@ def add_search_key(intents: DataFrame) -> DataFrame:
     return staged.withColumn("intent_id", F.sha2(F.to_json(F.struct(*parts)), 256))
 
 
-def _add_probe(intents: DataFrame) -> DataFrame:
-    known = F.array_intersect("dietary_tags", strings(tables.LABEL_PATTERNS))
-    tag = _longest(F.filter(F.transform(F.split("wanted", ","), strip), lambda p: p != ""))
-    word = _longest(F.flatten(F.transform("keywords", lambda k: tokens(k, "[a-z0-9]+"))))
-    diet = F.try_element_at(known, F.lit(1))
-    kind = (
-        F.when(tag.isNotNull(), F.lit("tag")).when(word.isNotNull(), F.lit("word"))
-        .when(diet.isNotNull(), F.lit("diet")).otherwise(F.lit("any"))
-    )
-    return intents.withColumns({"kind": kind, "pattern": F.coalesce(tag, word, diet, F.lit(""))})
-
-
-def _terms(kinds: list[str]) -> Column:
-    """What a product offers to the probes of these kinds, as (kind, term)."""
-    lists = {
-        "tag": F.array_distinct(F.transform("category_terms", F.lower)),
-        "word": F.array_distinct(tokens(F.lower("combined_text"), "[a-z0-9]+")),
-        "diet": F.col("diets"),
-        "any": F.array(F.lit("")),
-    }
-
-    def named(kind: str) -> Column:
-        return F.transform(lists[kind], lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
-
-    return F.concat(*map(named, kinds))
-
-
-def offers_for(products: DataFrame, patterns: DataFrame, kinds: list[str]) -> DataFrame:
-    """Products with every probe text they contain, each pair once.
-
-    ``patterns(kind, pattern)`` are distinct; ``kinds`` are those that occur.
-    """
-    texts = [k for k in kinds if k in ("tag", "word")]
-    bridge = patterns.filter(~F.col("kind").isin("tag", "word")).withColumn("term", F.col("pattern"))
-    if texts:
-        vocabulary = products.select(F.explode(_terms(texts)).alias("t")).select("t.*").distinct()
-        bridge = bridge.unionByName(substring_pairs(vocabulary, patterns.filter(F.col("kind").isin(texts))))
-    bridge = cut_lineage(bridge)
-    if fits(bridge):
-        # Map-side: the row meets its probe texts without a shuffle. A probe text
-        # found in two terms of one product counts at the first of them.
-        rows = products.withColumn("_terms", _terms(kinds)).select("*", F.posexplode("_terms").alias("_at", "_own"))
-        rows = rows.withColumns({"kind": F.col("_own.kind"), "term": F.col("_own.term")})
-        found = rows.join(F.broadcast(bridge), ["kind", "term"])
-        earlier = F.exists(
-            F.slice("_terms", F.lit(1), F.col("_at")),
-            lambda t: (t["kind"] == F.col("kind")) & F.contains(t["term"], F.col("pattern")),
-        )
-        return found.filter(~earlier).drop("_terms", "_at", "_own", "term")
-    # Otherwise only codes and terms are shuffled before the rows are fetched.
-    slim = products.select("code", F.explode(_terms(kinds)).alias("t")).select("code", "t.*")
-    codes = spread_join(slim, bridge, ["kind", "term"], ["code"]).select("code", *PROBE).distinct()
-    return products.join(codes, "code")
-
-
 def _order() -> list[Column]:
     return candidate_order(F.col("kids"), F.col("strict"))
 
@@ -169,7 +110,7 @@ def _matches(pairs: DataFrame, relaxed: bool) -> DataFrame:
 
 def _catalog(products: DataFrame) -> DataFrame:
     """Products with what the pair tests look at, prepared once per product."""
-    return products.withColumns({
+    return add_row_key(products).withColumns({
         "diets": known_diets(),
         "present": present_nutrients(),
         "low_category": F.lower("category_filter_text"),
@@ -207,27 +148,26 @@ def search_intents(
     product_columns = products.columns
     catalog = _catalog(products.filter("is_listed") if listed_only else products)
     columns = [
-        "intent_id", *PROBE, "wanted", "keywords", "kids", "strict", "dietary_tags", "excluded_ingredients", "bounds",
-        "caps", "floors",
+        "intent_id", "wanted", "keywords", "kids", "strict", "dietary_tags", "excluded_ingredients", "bounds", "caps", "floors",
     ]
     keyed_intents = add_search_key(intents).dropDuplicates(["intent_id"])
-    levels = _add_probe(add_relaxations(keyed_intents))
-    wanted = cut_lineage(levels.withColumns(loosest_limits(F.col("bounds"))).select(*columns))
-
-    patterns = wanted.select(*PROBE).distinct()
-    kinds = [row["kind"] for row in patterns.select("kind").distinct().collect()]  # at most four
+    levels = add_relaxations(keyed_intents).withColumns(loosest_limits(F.col("bounds")))
+    keyed = cut_lineage(levels.select(*columns, probe_texts().alias("_probes")))
+    texts = keyed.select("intent_id", F.explode("_probes").alias("p")).select("intent_id", "p.*")
+    chosen, bridge, kinds = choose_probes(catalog, texts, "intent_id")
+    wanted = cut_lineage(keyed.drop("_probes").join(chosen, "intent_id"))
     result_columns = ["intent_id", "level", "candidate_rank", *product_columns]
     if not kinds:
         nothing = catalog.limit(0).withColumns({
             "intent_id": F.lit(""), "level": F.lit(0), "candidate_rank": F.lit(0)})
         return nothing.select(*result_columns)
-    offers = offers_for(catalog, patterns, kinds)
+    offers = offers_for(catalog, bridge, kinds)
 
     # First try: the head of every probe, in each order that is asked for.
     heads = [*PROBE, "kids", "strict"]
     size = max(head_rows, limit)
     orders = wanted.select(*heads).distinct()
-    ordered = checked_join(offers, orders, PROBE, ["code"]).drop("_part")
+    ordered = checked_join(offers, orders, PROBE, ROW).drop("_part")
     head = cut_lineage(first_rows(ordered, heads, _order(), size, "_place"))
     # Many intents may share a probe, so here the intents are the side to split.
     pairs = spread_join(wanted, head, heads, ["intent_id"], INTENTS_PER_PART, heavy=True)
@@ -242,11 +182,35 @@ def search_intents(
     rest = cut_lineage(wanted.join(longer, heads, "left_semi").join(served, "intent_id", "left_anti"))
     if rest.isEmpty():
         return tried
-    pairs = checked_join(offers, rest, PROBE, ["code"])
-    full = _best(_matches(pairs, relaxed), limit, []).select(*result_columns)
+    if rest.agg(F.sum("load")).first()[0] <= PAIRS_AT_ONCE:
+        pairs = checked_join(offers, rest, PROBE, ROW)
+        full = _best(_matches(pairs, relaxed), limit, []).select(*result_columns)
+    else:
+        full = _by_blocks(catalog, offers, rest, limit, relaxed).select(*result_columns)
     return tried.join(rest.select("intent_id"), "intent_id", "left_anti").select(*result_columns).unionByName(full)
 
 
+def _by_blocks(catalog: DataFrame, offers: DataFrame, rest: DataFrame, limit: int, relaxed: bool) -> DataFrame:
+    """Candidates of intents that visit the blocks of their probe in rounds."""
+    offered = offers.join(rest.select(*PROBE).distinct(), PROBE, "left_semi")
+    indexed = blocks.index_offers(offered, blocks.bounded_nutrients(rest))
+    visits = blocks.plan_visits(indexed, rest)
+    found, going, done, size = None, rest.select("intent_id"), 0, blocks.FIRST_BLOCKS
+    while True:
+        now = visits.filter((F.col("turn") > done) & (F.col("turn") <= done + size)).join(going, "intent_id", "left_semi")
+        likely = blocks.visited_pairs(indexed, now)
+        # The wide rows are fetched for pairs within the limits only.
+        fetched = spread_join(likely, catalog, ROW, ["intent_id"]).drop("_part")
+        asked = spread_join(fetched, rest, ["intent_id"], ROW).drop("_part")
+        matched = _matches(asked, relaxed)
+        every = matched if found is None else matched.unionByName(found.drop("candidate_rank"))
+        found = cut_lineage(_best(every, limit, []))
+        done, size = done + size, size * blocks.GROWTH
+        going = cut_lineage(blocks.still_open(found, visits, limit, done))
+        if going.isEmpty():
+            return found
+
+
 def level_summary(intents: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per intent: the level that found something (NULL for none), candidate count and log columns."""
     found = candidates.groupBy("intent_id").agg(
@@ -260,14 +224,18 @@ def level_summary(intents: DataFrame, candidates: DataFrame) -> DataFrame:
 def search_mentions(products: DataFrame, asked: DataFrame, key: str) -> DataFrame:
     """The first product in plain candidate order that mentions all ``words`` of each key.
 
-    One product per key: the smallest order key wins, and every task merges its
+    A key is looked up by its rarest word. One product per key: the smallest order key wins, and every task merges its
     rows before the shuffle, so hot words cost one row per key and task.
     """
     product_columns = products.columns
-    word = _longest(F.col("words"))
-    probed = cut_lineage(asked.select(key, "words", F.lit("word").alias("kind"), word.alias("pattern")))
-    offers = offers_for(products, probed.select(*PROBE).distinct(), ["word"])
-    pairs = checked_join(offers, probed, PROBE, ["code"])
+    catalog = add_row_key(products)
+    kept = cut_lineage(asked.select(key, "words"))
+    texts = kept.select(key, F.lit("word").alias("kind"), F.explode("words").alias("pattern"))
+    chosen, bridge, kinds = choose_probes(catalog, texts, key)
+    if not kinds:
+        return catalog.limit(0).withColumn(key, F.lit(None).cast(asked.schema[key].dataType)).select(key, *product_columns)
+    probed = kept.join(chosen, key)
+    pairs = checked_join(offers_for(catalog, bridge, kinds), probed, PROBE, ROW)
     matched = pairs.filter(mentions_all(F.col("words"), F.lower("combined_text")))
     place = F.struct(
         (-F.col("grade_points")).alias("grade"), (-F.col("nova_points")).alias("nova"),

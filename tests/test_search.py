@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import larder.plans.joins as joins
 from larder import tables as t
 from larder.operators.normalize import normalize_products
-from larder.plans import search
+from larder.plans import blocks, probes, search
 from larder.plans.answers import answer_log, answer_read, answer_whole_log, for_log
 from larder.plans.joins import fits, spread_join, substring_pairs
 from larder.plans.recommend import recommend_all
@@ -121,7 +121,7 @@ def test_search_beyond_the_heads(products, intents):
 def test_search_without_broadcasts_and_with_split_keys(products, intents, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(joins, "ROWS_PER_PART", 10)
-    monkeypatch.setattr(search, "fits", lambda df: False)
+    monkeypatch.setattr(probes, "fits", lambda df: False)
     monkeypatch.setattr(joins, "fits", lambda df: False)
     assert answers(products, intents, 7, head_rows=8) == expected(products, intents, 7)
 
@@ -213,3 +213,93 @@ def test_ready_made_comparisons_are_compared(spark, cookies):
 def test_fits_counts_rows_and_bytes(spark):
     few = spark.range(3).withColumn("x", F.repeat(F.lit("ab"), 100))
     assert fits(few) and not fits(few, rows=2) and not fits(few, size=300)
+
+
+@pytest.fixture
+def tested(monkeypatch):
+    """How many pairs of intents and products each full test saw."""
+    seen, matches = [], search._matches
+
+    def counted(pairs, relaxed):
+        seen.append(pairs.count())
+        return matches(pairs, relaxed)
+
+    monkeypatch.setattr(search, "_matches", counted)
+    return seen
+
+
+def test_search_by_blocks(products, intents, monkeypatch):
+    monkeypatch.setattr(search, "PAIRS_AT_ONCE", 0)
+    for size, first in ((8, 1), (500, 4)):
+        monkeypatch.setattr(blocks, "BLOCK_ROWS", size)
+        monkeypatch.setattr(blocks, "FIRST_BLOCKS", first)
+        assert answers(products, intents, 7, head_rows=8) == expected(products, intents, 7)
+
+
+def hot_catalog(spark, count=4_000):
+    """All products share a category and a long word; one in forty has a short rare one."""
+    rows = spark.range(count).selectExpr(
+        "CASE WHEN id % 7 = 0 THEN '' ELSE lpad(id, 6, '0') END AS code", "IF(id % 40 = 3, 'everlasting oat', 'everlasting bar') AS product_name",
+        "'snack' AS categories", "array('en:snacks') AS categories_tags", "substring('abcde', 1 + CAST(id % 5 AS INT), 1) AS nutriscore_grade",
+        "CAST(1 + id % 4 AS INT) AS nova_group", "CAST((id * 7919) % 600 AS DOUBLE) AS energy_kcal_100g",
+        "CAST((id * 104729) % 40 AS DOUBLE) AS proteins_100g", "CAST(1 + id AS BIGINT) AS unique_scans_n")
+    return normalize_products(rows).cache()
+
+
+BOUNDS = "array<struct<nutrient:string,operator:string,value:double,unit:string>>"
+
+
+def test_tight_bounds_in_a_hot_category_read_few_blocks(spark, monkeypatch, tested):
+    hot = hot_catalog(spark)
+    tight = [("energy_kcal_100g", "<=", 20.0, "kcal"), ("proteins_100g", ">=", 35.0, "g")]
+    asked = spark.createDataFrame([("tight", "snacks", tight), ("all", None, tight)], f"text string, category string, nutrient_constraints {BOUNDS}")
+    asked = asked.withColumn("nutrient_constraints", F.expr("transform(nutrient_constraints, c -> c)"))
+    plain = answers(hot, asked, 7, head_rows=20)
+    all_pairs = max(tested)
+    assert all_pairs == 8_000  # both intents against every product
+    tested.clear()
+    monkeypatch.setattr(search, "PAIRS_AT_ONCE", 0)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 50)
+    assert answers(hot, asked, 7, head_rows=20) == plain and plain
+    visits = []
+    planned = blocks.plan_visits
+    monkeypatch.setattr(blocks, "plan_visits", lambda *a: visits.append(v := planned(*a)) or v)
+    answers(hot, asked, 7, head_rows=20)
+    assert visits[0].count() * 50 < all_pairs / 2  # rows of the blocks that may hold something
+    assert sum(tested[1:]) < all_pairs / 10  # pairs that the full tests see, heads aside
+
+
+def test_wide_bounds_stop_when_no_better_block_is_left(spark, monkeypatch, tested):
+    hot = hot_catalog(spark)
+    asked = spark.createDataFrame([("w", "snacks", [("proteins_100g", ">=", 1.0, "g")], ["bar"])],
+                                  f"text string, category string, nutrient_constraints {BOUNDS}, search_terms array<string>")
+    plain = answers(hot, asked, 7, head_rows=7)
+    monkeypatch.setattr(search, "PAIRS_AT_ONCE", 0)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 50)
+    tested.clear()
+    assert answers(hot, asked, 7, head_rows=7) == plain and len(plain["w"]) == 7
+    assert sum(tested) < 1_000
+
+
+def test_the_rarest_text_is_the_probe(spark, tested):
+    hot = hot_catalog(spark)
+    asked = spark.createDataFrame([("q", "snacks", ["everlasting", "oat"])], "text string, category string, search_terms array<string>")
+    assert len(answers(hot, asked, 250)["q"]) == 100
+    assert max(tested) == 100  # the short rare word, not the category or the long word
+    texts = spark.createDataFrame([(1, "word", "everlasting"), (1, "word", "oat"), (2, "word", "nothing"), (2, "tag", "snacks"), (3, "any", "")],
+                                  "id int, kind string, pattern string")
+    chosen, bridge, kinds = probes.choose_probes(search._catalog(hot), texts, "id")
+    assert {tuple(r) for r in chosen.select("id", "kind", "pattern", "load").collect()} == {
+        (1, "word", "oat", 100), (2, "word", "nothing", 0), (3, "any", "", 4_000)}
+    assert kinds == ["any", "tag", "word"] and "nothing" not in {r["pattern"] for r in bridge.collect()}
+
+
+def test_products_without_a_code_meet_their_own_probes(spark, monkeypatch):
+    rows = [("", "red rice", "en:rice"), ("", "blue beans", "en:beans"), ("", "red rice", "en:rice"), ("1", "oat mix", "en:oats")]
+    few = normalize_products(spark.createDataFrame(rows, "code string, product_name string, categories_tags string")
+                             .withColumn("categories_tags", F.array("categories_tags"))).cache()
+    asked = spark.createDataFrame([("r", "rice"), ("b", "beans")], "text string, category string")
+    plain = answers(few, asked, 7)
+    assert {k: len(v) for k, v in plain.items()} == {"r": 2, "b": 1}
+    monkeypatch.setattr(probes, "fits", lambda df: False)
+    assert answers(few, asked, 7) == plain
