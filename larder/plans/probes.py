@@ -57,13 +57,13 @@ def term_counts(products: DataFrame, kinds: list[str]) -> DataFrame:
 
 
 def choose_probes(products: DataFrame, texts: DataFrame, key: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """The probe of each ``key`` in ``texts(key, kind, pattern)``, with its load; the bridge to terms; the kinds in use.
+    """The probe of each ``key`` in the stored ``texts(key, kind, pattern)``, with its load; the bridge to terms; the kinds in use.
 
     The load is the number of (product, term) pairs that contain the text, the least of which wins; equal ones go by
-    kind and text. The bridge holds (kind, term, pattern) of chosen probes. A text that no product
+    kind and text. The bridge holds (kind, term, pattern) of all texts that were asked for. A text that no product
     offers has load 0: its key is served by nothing, and the bridge has no row for it.
     """
-    patterns = cut_lineage(texts.select(*PROBE).distinct())
+    patterns = texts.select(*PROBE).distinct()
     kinds = sorted(row["kind"] for row in patterns.select("kind").distinct().collect())  # at most four
     if not kinds:
         return texts.select(key, *PROBE, F.lit(0).cast("long").alias("load")), patterns.withColumn("term", F.col("pattern")), []
@@ -75,20 +75,18 @@ def choose_probes(products: DataFrame, texts: DataFrame, key: str) -> tuple[Data
         bridge = bridge.unionByName(substring_pairs(vocabulary, patterns.filter(F.col("kind").isin(searched))))
     bridge = cut_lineage(bridge.join(counts, ["kind", "term"]))
     loads = patterns.join(bridge.groupBy(*PROBE).agg(F.sum("n").alias("load")), PROBE, "left")
-    loads = cut_lineage(loads.withColumn("load", F.coalesce("load", F.lit(0).cast("long"))))
+    loads = loads.withColumn("load", F.coalesce("load", F.lit(0).cast("long")))
     probe = F.struct("load", *PROBE)
     chosen = checked_join(texts, loads, PROBE, [key]).groupBy(key).agg(F.min(probe).alias("_least")).select(key, "_least.*")
-    chosen = cut_lineage(chosen)
-    used = bridge.join(chosen.select(*PROBE).distinct(), PROBE, "left_semi")
-    return chosen, used.select("kind", "term", "pattern"), kinds
+    return chosen, bridge.select("kind", "term", "pattern"), kinds
 
 
-def offers_for(products: DataFrame, bridge: DataFrame, kinds: list[str]) -> DataFrame:
-    """Products (with :func:`add_row_key`) and every probe text they contain, each pair once.
+def offers_for(products: DataFrame, bridge: DataFrame, probed: DataFrame, kinds: list[str]) -> DataFrame:
+    """Products (with :func:`add_row_key`) and every probe text of ``probed(kind, pattern)`` they contain, each pair once.
 
-    ``bridge(kind, term, pattern)`` says which terms contain which probe texts.
+    ``bridge(kind, term, pattern)`` says which terms contain which texts.
     """
-    bridge = cut_lineage(bridge)
+    bridge = bridge.join(probed.select(*PROBE).distinct(), PROBE, "left_semi")
     if fits(bridge):
         # Map-side: the row meets its probe texts without a shuffle. A probe text
         # found in two terms of one product counts at the first of them.

@@ -161,7 +161,7 @@ def search_intents(
         nothing = catalog.limit(0).withColumns({
             "intent_id": F.lit(""), "level": F.lit(0), "candidate_rank": F.lit(0)})
         return nothing.select(*result_columns)
-    offers = offers_for(catalog, bridge, kinds)
+    offers = offers_for(catalog, bridge, wanted, kinds)
 
     # First try: the head of every probe, in each order that is asked for.
     heads = [*PROBE, "kids", "strict"]
@@ -234,8 +234,8 @@ def search_mentions(products: DataFrame, asked: DataFrame, key: str) -> DataFram
     chosen, bridge, kinds = choose_probes(catalog, texts, key)
     if not kinds:
         return catalog.limit(0).withColumn(key, F.lit(None).cast(asked.schema[key].dataType)).select(key, *product_columns)
-    probed = kept.join(chosen, key)
-    pairs = checked_join(offers_for(catalog, bridge, kinds), probed, PROBE, ROW)
+    probed = cut_lineage(kept.join(chosen, key))
+    pairs = checked_join(offers_for(catalog, bridge, probed, kinds), probed, PROBE, ROW)
     matched = pairs.filter(mentions_all(F.col("words"), F.lower("combined_text")))
     place = F.struct(
         (-F.col("grade_points")).alias("grade"), (-F.col("nova_points")).alias("nova"),
