@@ -14,6 +14,7 @@ from larder.operators.predicates import CONSTRAINT_TYPE
 from larder.plans.answers import answer_intents, answer_log, cards, for_log, read_queries
 from larder.plans.recommend import category_pools, compare_queries, recommend_all, reference_products
 from larder.plans.search import add_search_key, search_intents
+from larder.plans.vectors import Vectors, nearest
 from larder.sources import fixtures
 
 # ---- SQL: search by nested loop ---------------------------------------------
@@ -276,37 +277,41 @@ _part("G18_score", "score")
 _scored("G19_explanations", f"{o.joined('explanations')} AS explanations", lambda: listed("explanations", "explanations"))
 
 
-COSINE = "round(greatest(0, least(1, (CAST(list_cosine_similarity(q.embedding, c.embedding) AS DOUBLE) + 1) / 2)), 4)"
+def cosine_sql(a: str, b: str) -> str:
+    return f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
-def vector_pairs(spark, folder):
-    """Query vectors with the candidates of their label."""
-    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
-    asked = vectors.filter("vec_id < 20").select(
-        F.col("vec_id").alias("query_vec"), "label", F.col("embedding").alias("query_vector"))
-    offered = vectors.filter("vec_id >= 20").select("vec_id", "label", F.col("embedding").alias("product_vector"))
-    return offered.join(asked, "label")
+# The nearest rows of every hundredth vector among all others.
+NEAREST = f"""near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_vec ORDER BY round(cosine, 9) DESC, vec_id) AS rank
+  FROM (SELECT q.vec_id AS query_vec, q.label AS query_label, c.vec_id, {cosine_sql('q.embedding', 'c.embedding')} AS cosine
+    FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)) WHERE rank <= 10)"""
+MOVED = "greatest(0, least(1, (cosine + 1) / 2))"
 
 
-PAIRED = "embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id < 20 AND c.vec_id >= 20"
+def nearest_vectors(spark, folder):
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    asked = vectors.filter("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    return vectors, nearest(vectors.selectExpr("vec_id AS id", "embedding AS vector"), asked)
 
 
-@check("G3_vector_similarity", f"SELECT q.vec_id AS query_vec, c.vec_id, {COSINE} AS similarity FROM {PAIRED}")
+@check("G3_vector_similarity", f"WITH {NEAREST} SELECT query_vec, vec_id, rank, round({MOVED}, 6) AS similarity FROM near")
 def vector_similarity(spark, folder):
-    cosine = S.cosine_similarity(F.col("query_vector"), F.col("product_vector"))
-    return vector_pairs(spark, folder).select("query_vec", "vec_id", F.round(cosine, 4).alias("similarity"))
+    _, near = nearest_vectors(spark, folder)
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("cosine") + 1) / 2))
+    return near.select(F.col("query_id").alias("query_vec"), F.col("id").alias("vec_id"), whole("rank"), F.round(moved, 6).alias("similarity"))
 
 
-@check("G4_similarity_choice", f"""SELECT q.vec_id AS query_vec, c.vec_id, CAST(0 AS DOUBLE) AS off,
-  CASE WHEN c.vec_id % 3 = 0 THEN CAST(CASE WHEN q.label = c.vec_id % 10 THEN 1.0 ELSE 0.3333 END AS DOUBLE)
-  ELSE {COSINE} END AS similarity FROM {PAIRED}""")
+@check("G4_similarity_choice", f"""WITH {NEAREST} SELECT query_vec, vec_id, CAST(0 AS DOUBLE) AS off,
+  CASE WHEN vec_id % 3 = 0 THEN CAST(CASE WHEN query_label = vec_id % 10 THEN 1.0 ELSE 0.333333 END AS DOUBLE)
+  ELSE round({MOVED}, 6) END AS similarity FROM near""")
 def similarity_choice(spark, folder):
-    rows = vector_pairs(spark, folder).selectExpr(
-        "query_vec", "vec_id", "query_vector", "IF(vec_id % 3 = 0, NULL, product_vector) AS product_vector",
-        "concat('label ', label) AS text", "array('label', CAST(vec_id % 10 AS STRING)) AS tokens")
+    vectors, near = nearest_vectors(spark, folder)
+    asked = vectors.selectExpr("vec_id AS query_id", "embedding AS query_vector", "concat('label ', label) AS text")
+    offered = vectors.selectExpr("vec_id AS id", "IF(vec_id % 3 = 0, NULL, embedding) AS product_vector", "array('label', CAST(vec_id % 10 AS STRING)) AS tokens")
+    rows = near.join(asked, "query_id").join(offered, "id")
     chosen = S.similarity(F.col("text"), F.col("tokens"), F.col("query_vector"), F.col("product_vector"))
     off = S.similarity(F.col("text"), F.col("tokens"), enabled=False)
-    return rows.select("query_vec", "vec_id", off.alias("off"), F.round(chosen, 4).alias("similarity"))
+    return rows.select(F.col("query_id").alias("query_vec"), F.col("id").alias("vec_id"), off.alias("off"), F.round(chosen, 6).alias("similarity"))
 
 
 # ---- answers -----------------------------------------------------------------
@@ -339,6 +344,28 @@ def rank_by_score(spark, folder):
     return answers_of(spark, folder).ranked.select("text", "code", whole("rank"), rounded("score"))
 
 
+# Vectors for two thirds of the products and four fifths of the texts.
+PRODUCT_VECTORS = "SELECT CAST(p_partkey AS VARCHAR(20)) AS code, embedding AS vector FROM part JOIN embeddings ON vec_id = p_partkey % 500 WHERE p_partkey % 3 <> 0"
+TEXT_VECTORS = "SELECT DISTINCT text, embedding AS vector FROM query_log JOIN embeddings ON vec_id = length(text) * 7 % 500 WHERE length(text) % 5 <> 0"
+BY_WORDS = score_sql("answered").split(" AS similarity")[0].rpartition("s2 AS (SELECT *, ")[2]
+
+
+@check("F9_answers_with_vectors", o.with_(ANSWERS.replace(score_sql("answered"), f"""text_vectors AS ({TEXT_VECTORS}),
+product_vectors AS ({PRODUCT_VECTORS}),
+given AS (SELECT a.*, t.vector AS query_vector, p.vector AS product_vector FROM answered a
+  LEFT JOIN text_vectors t ON a.text = t.text LEFT JOIN product_vectors p ON a.code = p.code),
+""" + score_sql("given").replace(BY_WORDS, f"""CASE WHEN query_vector IS NOT NULL AND product_vector IS NOT NULL
+    THEN greatest(0, least(1, ({cosine_sql('query_vector', 'product_vector')} + 1) / 2)) ELSE {BY_WORDS} END""")).replace("{rows}", str(t.RESULT_ROWS))) + """
+SELECT text, code, rank, round(score, 6) AS score, round(CAST(similarity AS DOUBLE), 6) AS similarity FROM ranked""")
+def answers_with_vectors(spark, folder):
+    stored, log = stored_products(spark, folder), fixtures.query_log(spark, folder)
+    log.createOrReplaceTempView("query_log")
+    spark.read.parquet(f"{folder}/embeddings.parquet").createOrReplaceTempView("embeddings")
+    given = Vectors(spark.sql(TEXT_VECTORS), spark.sql(PRODUCT_VECTORS))
+    ranked = answer_log(stored, log, fixtures.FIXTURE_TAGS, vectors=given).ranked
+    return ranked.select("text", "code", whole("rank"), rounded("score"), rounded("similarity"))
+
+
 @check("B16_cards", o.with_(ANSWERS.replace("{rows}", str(t.RESULT_ROWS))) + f"""
 SELECT text, rank, name AS card_name, brands AS card_brand, '' AS card_image, nutriscore AS card_grade,
   categories[1] AS card_category, explanations[1] AS card_summary,

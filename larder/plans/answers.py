@@ -17,6 +17,7 @@ from larder.operators.scoring import prepare_products, product_card, score_candi
 from larder.plans.joins import evenly, spread_join
 from larder.plans.recommend import compare_queries
 from larder.plans.search import add_search_key, complete_intents, level_summary, reading, search_intents
+from larder.plans.vectors import Vectors, add_vectors
 from larder.session import cut_lineage
 
 TEXTS_PER_PART = 500  # texts of one intent scored in one task (50 candidates each)
@@ -38,17 +39,21 @@ def read_queries(log: DataFrame, tags: dict[str, str] | None = None, translation
 
 
 def rank_candidates(
-    candidates: DataFrame, queries: DataFrame, max_results: int = tables.RESULT_ROWS, semantic: bool = True
+    candidates: DataFrame, queries: DataFrame, max_results: int = tables.RESULT_ROWS, semantic: bool = True, vectors: Vectors | None = None
 ) -> DataFrame:
     """Score every candidate for every text of its intent; the best per text, ranked.
 
-    The bounds used are those of the level the candidates were found at.
+    The bounds used are those of the level the candidates were found at. With
+    ``vectors``, a text and a product that both have one are compared by them, all others by their words.
     """
     products = prepare_products(candidates)
-    asked = level_columns(queries)
+    asked, given = level_columns(queries), [None, None]
+    if vectors is not None:
+        asked, products = add_vectors(asked, products, vectors)
+        given = ["query_vector", "product_vector"]
     pairs = spread_join(asked, products, ["intent_id"], ["text"], TEXTS_PER_PART, heavy=True)
     pairs = pairs.withColumn("nutrient_constraints", F.get("bounds", F.col("level")))
-    scored = score_candidates(pairs, semantic=semantic)
+    scored = score_candidates(pairs, *given, semantic=semantic).drop("query_vector", "product_vector")
     return first_rows(scored, ["intent_id", "_part", *reading(queries)], score_order(), max_results)
 
 
@@ -90,7 +95,7 @@ class Answers:
 
 
 def answer_intents(
-    products: DataFrame, queries: DataFrame, max_results: int = tables.RESULT_ROWS, semantic: bool = True
+    products: DataFrame, queries: DataFrame, max_results: int = tables.RESULT_ROWS, semantic: bool = True, vectors: Vectors | None = None
 ) -> Answers:
     """Search, relax, rank and explain for a ready-made table of queries with intents."""
     complete = complete_intents(queries)
@@ -103,7 +108,7 @@ def answer_intents(
     return Answers(
         queries=complete,
         candidates=candidates,
-        ranked=rank_candidates(candidates, complete, max_results, semantic),
+        ranked=rank_candidates(candidates, complete, max_results, semantic, vectors),
         answers=answer_rows(complete, candidates, max_results),
     )
 
@@ -115,10 +120,11 @@ def answer_log(
     max_results: int = tables.RESULT_ROWS,
     translation: str | None = None,
     semantic: bool = True,
+    vectors: Vectors | None = None,
 ) -> Answers:
     """The whole search job for a log; phrases that compare are left to :func:`answer_whole_log`."""
     read = read_queries(log, tags, translation)
-    return answer_intents(products, read.filter(~_compares()), max_results, semantic)
+    return answer_intents(products, read.filter(~_compares()), max_results, semantic, vectors)
 
 
 @dataclass(frozen=True)
@@ -134,11 +140,13 @@ def _compares() -> Column:
     return F.coalesce("comparison_product", F.lit("")) != ""
 
 
-def answer_read(products: DataFrame, queries: DataFrame, max_results: int = tables.RESULT_ROWS, semantic: bool = True) -> WholeLog:
+def answer_read(
+    products: DataFrame, queries: DataFrame, max_results: int = tables.RESULT_ROWS, semantic: bool = True, vectors: Vectors | None = None
+) -> WholeLog:
     """Search for the queries that search and compare for those that compare; each has a row in ``rows``, also without results."""
     complete = complete_intents(queries)
     comparing = complete.filter(_compares())
-    searched = answer_intents(products, complete.filter(~_compares()), max_results, semantic)
+    searched = answer_intents(products, complete.filter(~_compares()), max_results, semantic, vectors)
     compared = compare_queries(products, comparing)
     own = reading(queries)
     # Queries without results come along as rows that count nothing; grouping also matches missing translations.
@@ -155,9 +163,10 @@ def answer_whole_log(
     max_results: int = tables.RESULT_ROWS,
     translation: str | None = None,
     semantic: bool = True,
+    vectors: Vectors | None = None,
 ) -> WholeLog:
     """The whole job for a log: texts are read once, then searched for or compared."""
-    return answer_read(products, read_queries(log, tags, translation), max_results, semantic)
+    return answer_read(products, read_queries(log, tags, translation), max_results, semantic, vectors)
 
 
 def for_log(log: DataFrame, per_text: DataFrame, translation: str | None = None) -> DataFrame:
