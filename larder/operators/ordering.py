@@ -70,11 +70,22 @@ def page_limit(limit: int | None, max_results: int | None, page_size: int = 20)
     return limit or max_results or max(1, min(page_size, 250))
 
 
+GROUP_LIMIT = 1000  # rows up to which Spark itself cuts groups down in each task
+GROUP_PARTS = 64  # parts a group is cut down in first beyond that
+
+
 def first_rows(df: DataFrame, group: list[str], order: list[Column], limit: int, rank: str = "rank") -> DataFrame:
     """The first ``limit`` rows per group, numbered from 1.
 
     The limit sits right on the window, so Spark cuts every group down in each
     task before it shuffles: a group of any size sends ``limit`` rows per task.
+    Spark does so for limits up to a thousand. Beyond, the rows of a group are cut down in parts first, by
+    a hash of the row, so that no task sorts a whole group.
     """
     window = Window.partitionBy(*group).orderBy(*order)
+    if limit > GROUP_LIMIT:
+        hashed = [f.name for f in df.schema.fields if "map" not in f.dataType.simpleString()]
+        part = Window.partitionBy(*group, "_cut").orderBy(*order)
+        cut = df.withColumn("_cut", F.pmod(F.xxhash64(*hashed), F.lit(GROUP_PARTS)))
+        df = cut.withColumn("_cut_place", F.row_number().over(part)).filter(F.col("_cut_place") <= limit).drop("_cut", "_cut_place")
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= limit)

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from larder import tables
 from larder.operators.intents import add_relaxations
-from larder.operators.ordering import candidate_order, first_rows, nutrition_heuristic
+from larder.operators.ordering import ORDERED_BY, candidate_order, first_rows, nutrition_heuristic
 from larder.operators.predicates import (
     CONSTRAINT_TYPE, has_diets, keyword_list, known_diets, loosest_limits, mentions_all, passes_bounds,
     present_nutrients, within_limits, without_ingredients,
@@ -37,7 +37,7 @@ from larder.plans.joins import checked_join, spread_join
 from larder.plans.probes import PROBE, ROW, add_row_key, choose_probes, offers_for, probe_texts
 from larder.session import cut_lineage
 
-HEAD_ROWS = 1000  # Spark's own limit for cutting groups down before the shuffle
+HEAD_ROWS = 1000  # Spark itself cuts groups of as many rows down before the shuffle
 
 INTENT_COLUMNS = {
     "category": "string",
@@ -167,8 +167,10 @@ def search_intents(
     heads = [*PROBE, "kids", "strict"]
     size = max(head_rows, limit)
     orders = wanted.select(*heads).distinct()
-    ordered = checked_join(offers, orders, PROBE, ROW).drop("_part")
-    head = cut_lineage(first_rows(ordered, heads, _order(), size, "_place"))
+    slim = checked_join(offers.select(*PROBE, *ROW, *ORDERED_BY, "code"), orders, PROBE, ROW).drop("_part")
+    places = cut_lineage(first_rows(slim, heads, _order(), size, "_place").select(*heads, *ROW, "_place"))
+    # The wide rows are fetched for the heads only; equal rows share a key and come along together.
+    head = catalog.join(places.select(*heads, *ROW).distinct(), ROW)
     # Many intents may share a probe, so here the intents are the side to split.
     pairs = spread_join(wanted, head, heads, ["intent_id"], INTENTS_PER_PART, heavy=True)
     tried = cut_lineage(
@@ -177,7 +179,7 @@ def search_intents(
 
     # Whoever got a full list at level 0 has its answer, and so has everyone whose
     # probe has no products beyond the head.
-    longer = head.filter(F.col("_place") == size).select(*heads)
+    longer = places.filter(F.col("_place") == size).select(*heads)
     served = tried.filter((F.col("level") == 0) & (F.col("candidate_rank") == limit)).select("intent_id")
     rest = cut_lineage(wanted.join(longer, heads, "left_semi").join(served, "intent_id", "left_anti"))
     if rest.isEmpty():

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.operators.ordering import first_rows
 from larder.plans.places import add_places
 
 
@@ -42,3 +43,16 @@ def test_empty_and_constant_order(spark):
     df = spark.createDataFrame([("x", 2), ("x", 1)], "kind string, score int")
     placed = add_places(df, ["kind"], [F.when(F.lit(False), F.col("score")).asc(), F.col("score").asc()])
     assert rows_of(placed) == [("x", 1, 1), ("x", 2, 2)]
+
+
+def test_first_rows_beyond_sparks_own_limit(spark):
+    rows = [("hot", i * 7919 % 5_003, i) for i in range(5_000)] + [("cold", 1, 1), ("cold", 0, 2)]
+    df = spark.createDataFrame(rows, "kind string, score int, id long")
+    order = [F.col("score").asc(), F.col("id").desc()]
+    got = first_rows(df, ["kind"], order, 2_000)
+    want = []
+    for kind in ("hot", "cold"):
+        own = sorted((r for r in rows if r[0] == kind), key=lambda r: (r[1], -r[2]))[:2_000]
+        want += [(*r, at + 1) for at, r in enumerate(own)]
+    assert rows_of(got) == sorted(want, key=repr)
+    assert got._jdf.queryExecution().executedPlan().toString().count("_cut") > 0
