@@ -28,7 +28,8 @@ from larder.llm.common import query, read, stored
 from larder.llm.pieces import default_vocabulary
 from larder.llm.shards import default_tokenizer
 
-SLICE_BYTES = 500_000  # of texts that are merged at a time
+SLICE_BYTES = 250_000  # of texts that are merged at a time
+KNOWN_CHUNKS = 700_000  # chunks a worker keeps the ids of, on each side; results do not depend on it
 HEAD_PAIRS = 100_000  # frequent pairs that are broadcast; results do not depend on it
 _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = True
@@ -79,7 +80,7 @@ def byte_side(path: str) -> Side:
     letters = byte_letters()
     by_id = {i: token for token, i in tokenizer.get_vocab().items()}
     tokens = [b"" if i not in by_id else bytes(letters[c] for c in by_id[i]) if all(c in letters for c in by_id[i]) else by_id[i].encode() for i in range(max(by_id) + 1)]
-    return Side(chunks.Memory(lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]), tokens)
+    return Side(chunks.Memory(lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], most=KNOWN_CHUNKS), tokens)
 
 
 @functools.lru_cache(maxsize=2)
@@ -100,7 +101,7 @@ def piece_side(path: str) -> Side:
     def encode(texts: list[str]) -> list[list[int]]:
         return [ids or blank for ids in model.encode([t[1:] for t in texts], num_threads=1)]
 
-    return Side(chunks.Memory(encode, _BLANK), tokens)
+    return Side(chunks.Memory(encode, _BLANK, KNOWN_CHUNKS), tokens)
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:

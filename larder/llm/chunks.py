@@ -47,12 +47,27 @@ def spans(text: kernel.Text, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.append(starts[1:], n)
 
 
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> bool:
+    """Whether all pieces of ``a`` are those of ``b``, eight bytes at a time; both have eight spare bytes at their ends."""
+    a_words, b_words = (np.ndarray((len(x) - 7,), "<u8", x, strides=(1,)) for x in (a, b))
+    left, step = np.arange(len(sizes)), 0
+    while len(left) and step < 256:
+        size = np.minimum(sizes[left] - step, 8).astype(np.uint64)
+        unused = (np.uint64(8) - size) * np.uint64(8)
+        if ((a_words[a_at[left] + step] ^ b_words[b_at[left] + step]) << unused).any():
+            return False
+        step += 8
+        left = left[sizes[left] > step]
+    return all(np.array_equal(a[a_at[k] : a_at[k] + sizes[k]], b[b_at[k] : b_at[k] + sizes[k]]) for k in left)
+
+
 class Memory:
     """The ids of the chunks seen so far, by hash; the bytes of a chunk are compared with those it was learned from."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], breaks: np.ndarray = kernel.SPACE) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], breaks: np.ndarray = kernel.SPACE, most: int = KNOWN_CHUNKS) -> None:
         self.encode = encode
         self.breaks = breaks
+        self.most = most
         self.clear()
 
     def clear(self) -> None:
@@ -65,14 +80,14 @@ class Memory:
     def _append(self, pool: str, values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Where each of the pieces begins in the pool."""
         used, old = self.used[pool], self.pools[pool]
-        if used + len(values) > len(old):
-            self.pools[pool] = old = np.concatenate([old, np.zeros(max(len(values), len(old)), old.dtype)])
+        if used + len(values) + 8 > len(old):  # some bytes to spare at the end
+            self.pools[pool] = old = np.concatenate([old, np.zeros(max(len(values) + 8, len(old)), old.dtype)])
         old[used : used + len(values)] = values
         self.used[pool] = used + len(values)
         return used + np.cumsum(lengths) - lengths
 
     def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > KNOWN_CHUNKS:
+        if len(self.keys) + len(keys) > self.most:
             self.clear()
         ids = self.encode([p.decode() for p in pieces])
         many = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -91,16 +106,16 @@ class Memory:
             return np.zeros(0, np.int32), np.zeros(text.rows, np.int64)
         keys, first, place = np.unique(text.hashes(starts, ends), return_index=True, return_inverse=True)
         new = ~kernel.contains(self.keys, keys)
-        if new.any() and len(self.keys) + new.sum() > KNOWN_CHUNKS:
+        if new.any() and len(self.keys) + new.sum() > self.most:
             self.clear()
             new[:] = True
         if new.any():
             raw = text.data.tobytes()
             self.learn(keys[new], [raw[starts[k] : ends[k]] for k in first[new]])
         at = np.searchsorted(self.keys, keys)[place]
-        # The chunks in a row are the text, so the chunks they were learned from must be it too.
         sizes = self.bytes_many[at]
-        if not (np.array_equal(sizes, ends - starts) and np.array_equal(gather(self.pools["bytes"], self.bytes_at[at], sizes), text.data)):
+        spare = np.concatenate([text.data, np.zeros(8, np.uint8)])
+        if not (np.array_equal(sizes, ends - starts) and same_bytes(spare, starts, self.pools["bytes"], self.bytes_at[at], sizes)):
             return self._plain(text, starts, ends)
         lengths = self.ids_many[at]
         counts = np.bincount(text.row_of(starts), lengths, text.rows).astype(np.int64)

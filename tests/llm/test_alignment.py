@@ -106,3 +106,14 @@ def test_chunks_that_share_a_hash(monkeypatch):
     data = np.frombuffer(b"ab ab cd efg", np.uint8)
     ids, counts = memory.ids(kernel.Text(data, np.array([0, 5, 12])))
     assert bytes(ids.tolist()) == b"ab ab cd efg" and counts.tolist() == [5, 7]
+
+
+def test_same_bytes():
+    a = np.frombuffer(b"xabcdefghijk" + b"y" * 600 + b"longer" + bytes(8), np.uint8)
+    b = np.frombuffer(b"abcdefghijk" + b"y" * 600 + b"longer" + bytes(8), np.uint8).copy()
+    at, sizes = np.array([1, 3, 12, 12]), np.array([11, 1, 600, 606])
+    assert chunks.same_bytes(a, at, b, at - 1, sizes)
+    for place in (0, 10, 11, 299, 610, 616):
+        c = b.copy()
+        c[place] ^= 1
+        assert not chunks.same_bytes(a, at, c, at - 1, sizes)
