@@ -8,11 +8,13 @@ from checks import oracle as o
 from checks.registry import check, listed, whole
 from larder import tables as t
 from larder.functions.numbers import number_text
+from larder.functions import text as X
 from larder.functions.text import fold_accents
 from larder.operators import annotate as A
 from larder.operators import intents as I
 from larder.plans.answers import read_queries
 from larder.plans.joins import evenly
+from larder.plans.phrases import normalize_by_table, phrases_found
 from larder.sources import fixtures
 
 LOG = o.with_(o.QUERY_LOG)
@@ -57,6 +59,17 @@ _normal("E3_normalize_plain", "en")
 _normal("E4_french_phrases", "fr")
 
 
+def french_table(spark):
+    """The built-in French replacements as a table."""
+    pairs = t.TYPOS + X.longest_first(t.FRENCH_PHRASES) + t.FRENCH_NUMERIC_PHRASES
+    return spark.createDataFrame([(i, old, new) for i, (old, new) in enumerate(pairs)], "place int, old string, new string")
+
+
+@check("E4_phrase_table", LOG + f"SELECT text, {o.normalized_sql('text', o.lit('fr'))} AS normalized FROM texts")
+def phrase_table(spark, folder):
+    return normalize_by_table(texts(spark, folder), "text", french_table(spark), "normalized").select("text", "normalized")
+
+
 @check("E5_french_numbers", LOG + f"""
 SELECT text, {o.normalized_sql("replace(text, 'under', 'plus de')", "'fr'")} AS normalized FROM texts""")
 def french_numbers(spark, folder):
@@ -112,6 +125,14 @@ SIGNAL = "(CASE WHEN category IS NULL THEN 0 ELSE 2 END + 2 * len(tags) + 3 * le
 _part("E24_signal_score", f"CAST({SIGNAL} AS BIGINT) AS signal_score", lambda: whole("signal_score"))
 
 
+@check("E11_tags_by_table", PARSED + f"SELECT text, {o.joined('tags')} AS tags FROM parsed")
+def tags_by_table(spark, folder):
+    phrases = spark.createDataFrame([(i, w, tag) for i, (w, tag) in enumerate(t.DIETARY_WORDS)], "place int, old string, new string")
+    marked = A.preprocess(texts(spark, folder)).select("text", X.mark_words(F.col("normalized_text")).alias("marked"))
+    found = phrases_found(marked, "marked", phrases, "tags")
+    return found.select("text", listed(A.one_plant_tag(F.col("tags")), "tags"))
+
+
 def _bounds(name: str, sql: str, build) -> None:
     """One source of bounds, on the normal form of every text."""
 

@@ -42,14 +42,22 @@ def detect_language(text: Column) -> Column:
     return F.when((hints >= 2) | (folded != lowered), F.lit("fr")).otherwise(F.lit("en"))
 
 
+def normal_words(text: Column) -> Column:
+    """Lower case without accents, single spaces, words marked."""
+    return X.mark_words(X.collapse(X.fold_accents(F.lower(text))))
+
+
+def normal_spacing(marked_text: Column) -> Column:
+    """The last step of the normal form: marks and hyphens go, spaces are single and never before a comma."""
+    spaced = F.replace(F.replace(X.unmark(marked_text), F.lit("-"), F.lit(" ")), F.lit(" ,"), F.lit(","))
+    return X.collapse(spaced)
+
+
 def normalize_text(text: Column, language: Column) -> Column:
     """Lower case without accents, French phrases in English, single spaces."""
     typos = X.swaps(tables.TYPOS)
     french = X.swaps(tables.TYPOS + X.longest_first(tables.FRENCH_PHRASES) + tables.FRENCH_NUMERIC_PHRASES)
-    words = X.mark_words(X.collapse(X.fold_accents(F.lower(text))))
-    swapped = X.swap_phrases(words, F.when(language == "fr", french).otherwise(typos))
-    spaced = F.replace(F.replace(X.unmark(swapped), F.lit("-"), F.lit(" ")), F.lit(" ,"), F.lit(","))
-    return X.collapse(spaced)
+    return normal_spacing(X.swap_phrases(normal_words(text), F.when(language == "fr", french).otherwise(typos)))
 
 
 def preprocess(queries: DataFrame, text: str = "text", translation: str | None = None) -> DataFrame:
