@@ -231,6 +231,12 @@ def category_tags(spark, folder):
     return I.map_categories(own).select("text", "category_tag", "own_tag")
 
 
+@check("E26_tags_by_join", PARSED + f"SELECT text, {tag_sql(fixtures.FIXTURE_TAGS)} AS category_tag FROM parsed")
+def tags_by_join(spark, folder):
+    tags = spark.createDataFrame([*fixtures.FIXTURE_TAGS.items(), ("SNACKS", "zz:later"), (None, "x"), ("x", None)], "word string, tag string")
+    return I.map_categories(parsed(spark, folder), tags).select("text", "category_tag")
+
+
 def mapped(spark, folder):
     """The log's texts as searchable constraints."""
     return read_queries(fixtures.query_log(spark, folder), fixtures.FIXTURE_TAGS)

@@ -11,7 +11,7 @@ from checks.registry import check, listed, products, rounded, stored_products, w
 from larder import tables as t
 from larder.operators import scoring as S
 from larder.operators.predicates import CONSTRAINT_TYPE
-from larder.plans.answers import answer_intents, answer_log, cards, for_log, read_queries
+from larder.plans.answers import answer_intents, answer_log, answer_read, answer_whole_log, cards, for_log, read_queries
 from larder.plans.recommend import category_pools, compare_queries, recommend_all, reference_products
 from larder.plans.search import add_search_key, search_intents
 from larder.plans.vectors import Vectors, nearest
@@ -481,3 +481,71 @@ def compare(spark, folder):
     read = read_queries(fixtures.query_log(spark, folder), fixtures.FIXTURE_TAGS)
     return compare_queries(stored_products(spark, folder), read).select(
         "text", "ref_code", "code", whole("rank"), listed("improvements", "improvements"))
+
+
+# ---- the whole log: both branches, missing texts, translations ------------------
+
+# French phrases with one of two translations, with an empty one, or without; and rows without a text.
+ENGLISH = """CASE WHEN text LIKE 'collations%' AND query_id % 3 = 0 THEN 'vegan snacks'
+  WHEN text LIKE 'collations%' AND query_id % 3 = 1 THEN 'healthier alternative to red ring' WHEN text LIKE 'biscuits%' THEN '' END"""
+WHOLE_LOG = f"""SELECT query_id, text, {ENGLISH} AS english FROM query_log
+UNION ALL SELECT -1000 AS query_id, CAST(NULL AS VARCHAR(10)) AS text, CAST(NULL AS VARCHAR(10)) AS english
+UNION ALL SELECT -1001 AS query_id, CAST(NULL AS VARCHAR(10)) AS text, 'cookies' AS english"""
+READINGS = f"""{o.PHRASES},
+query_log AS ({fixtures.QUERY_LOG_SQL} UNION ALL SELECT query_id, text FROM phrases),
+log AS ({WHOLE_LOG}),
+texts AS (SELECT DISTINCT text, english FROM log),
+rule_texts AS MATERIALIZED (SELECT *, {o.normalized_sql("coalesce(text, '')", 'language')} AS normalized
+  FROM (SELECT *, coalesce({o.LANGUAGE}, 'en') AS language FROM texts)),
+first_texts AS MATERIALIZED (SELECT text, english, language, CASE WHEN language = 'fr' AND coalesce(english, '') <> ''
+  THEN {o.normalized_sql('english', "'en'")} ELSE normalized END AS normalized FROM rule_texts)"""
+# Both readings of a text united: gaps filled, lists joined, strictest bounds.
+UNITED = f"""united AS (SELECT a.text, a.english, a.excluded, coalesce(a.category, b.category) AS category,
+  coalesce(nullif(a.comparison, ''), b.comparison) AS comparison, list_concat(a.tags, b.tags) AS all_tags,
+  list_concat(a.preferences, b.preferences) AS all_preferences, list_concat(a.terms, b.terms) AS all_terms, list_concat(a.cons, b.cons) AS all_cons
+  FROM a_parsed a JOIN b_parsed b ON a.text IS NOT DISTINCT FROM b.text AND a.english IS NOT DISTINCT FROM b.english),
+parsed AS MATERIALIZED (SELECT text, english, excluded, category, comparison,
+  list_filter({o.first_seen('all_tags')}, lambda x: x <> 'vegetarian' OR NOT list_contains(all_tags, 'vegan')) AS tags,
+  {o.first_seen('all_preferences')} AS preferences, {o.first_seen('all_terms')} AS terms, {o.strictest_sql('all_cons')} AS cons FROM united)"""
+READ = o.with_(
+    o.CATALOG, o.PROD, o.QUALITY, READINGS, o.parse_ctes('first_texts', 'a_'), o.parse_ctes('rule_texts', 'b_'), UNITED, LEVELS,
+    f"asked AS MATERIALIZED (SELECT *, {tag_sql(fixtures.FIXTURE_TAGS)} AS wanted FROM levels WHERE coalesce(comparison, '') = '')",
+    search_sql("asked", t.CANDIDATE_ROWS, key="text, english"), POOLS.replace("{rows}", str(t.CATEGORY_POOL_ROWS)),
+    f"""refs AS (SELECT * FROM (SELECT a.text, a.english, q.*, row_number() OVER (PARTITION BY a.text, a.english ORDER BY {o.order_sql(alias='q.')}) AS place
+  FROM (SELECT text, english, regexp_extract_all(lower(comparison), '[a-z0-9]+') AS words FROM parsed WHERE comparison <> '') a
+  JOIN quality q ON {mentions_sql('words', 'q.combined_text')}) WHERE place = 1)""",
+    f"""rows AS (SELECT a.text, a.english, 'search' AS branch, least(coalesce(n, 0), {t.RESULT_ROWS}) AS result_rows FROM asked a
+  LEFT JOIN (SELECT text, english, count(*) AS n FROM found GROUP BY text, english) f ON a.text IS NOT DISTINCT FROM f.text AND a.english IS NOT DISTINCT FROM f.english
+UNION ALL SELECT a.text, a.english, 'compare', least(coalesce(n, 0), {t.RECOMMENDED_ROWS}) FROM parsed a
+  LEFT JOIN (SELECT r.text, r.english, count(*) AS n FROM refs r JOIN pools p ON r.categories[1] = p.category AND p.code <> r.code AND p.quality > r.quality * 1.05
+    GROUP BY r.text, r.english) f ON a.text IS NOT DISTINCT FROM f.text AND a.english IS NOT DISTINCT FROM f.english WHERE a.comparison <> '')""")
+
+
+@check("F9_whole_log", READ + """
+SELECT query_id, branch, result_rows FROM log JOIN rows ON log.text IS NOT DISTINCT FROM rows.text AND log.english IS NOT DISTINCT FROM rows.english""")
+def whole_log(spark, folder):
+    stored = stored_products(spark, folder)
+    fixtures.query_log(spark, folder).createOrReplaceTempView("query_log")
+    log = spark.sql(WHOLE_LOG)
+    whole = answer_whole_log(stored, log, fixtures.FIXTURE_TAGS, translation="english")
+    return for_log(log, whole.rows, "english").select("query_id", "branch", F.col("result_rows").cast("long").alias("result_rows"))
+
+
+# Ready-made intents of both branches: every product's name is asked for by its words or compared with.
+@check("F3_ready_made_both", o.with_(
+    o.CATALOG, o.PROD, o.QUALITY, POOLS.replace("{rows}", str(t.CATEGORY_POOL_ROWS)), f"""names AS (SELECT DISTINCT p_name AS text FROM part),
+asked AS (SELECT text, CAST(NULL AS VARCHAR) AS wanted, [split_part(text, ' ', 1), split_part(text, ' ', 2)] AS terms, {NO_LIST} AS tags, {NO_LIST} AS excluded,
+  {NO_LIST} AS preferences, {NO_CONS} AS cons0 FROM names WHERE length(text) % 2 = 0)""", search_sql("asked", t.CANDIDATE_ROWS, relaxed=False),
+    f"""refs AS (SELECT * FROM (SELECT a.text, q.*, row_number() OVER (PARTITION BY a.text ORDER BY {o.order_sql(alias='q.')}) AS place
+  FROM (SELECT text, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM names WHERE length(text) % 2 = 1) a
+  JOIN quality q ON {mentions_sql('words', 'q.combined_text')}) WHERE place = 1)""") + f"""
+SELECT a.text, 'search' AS branch, least(count(code), {t.RESULT_ROWS}) AS result_rows FROM asked a LEFT JOIN found ON a.text = found.text GROUP BY a.text
+UNION ALL SELECT n.text, 'compare', least(count(p.code), {t.RECOMMENDED_ROWS}) FROM names n LEFT JOIN refs r ON n.text = r.text
+  LEFT JOIN pools p ON r.categories[1] = p.category AND p.code <> r.code AND p.quality > r.quality * 1.05 WHERE length(n.text) % 2 = 1 GROUP BY n.text""")
+def ready_made_both(spark, folder):
+    names = spark.read.parquet(f"{folder}/part.parquet").select(F.col("p_name").alias("text")).distinct()
+    compares = F.length("text") % 2 == 1
+    asked = names.select("text", F.when(compares, F.col("text")).alias("comparison_product"),
+                         F.when(~compares, F.slice(F.split("text", " "), 1, 2)).alias("search_terms"))
+    whole = answer_read(stored_products(spark, folder), asked)
+    return whole.rows.select("text", "branch", F.col("result_rows").cast("long").alias("result_rows"))

@@ -9,6 +9,8 @@ from larder import tables
 from larder.functions.numbers import number_text, round3
 from larder.functions.text import literal_map, strings, strip
 from larder.operators.predicates import CONSTRAINT_TYPE
+from larder.plans.joins import checked_join
+from larder.session import cut_lineage
 
 LIST_FIELDS = ["dietary_tags", "search_terms", "ranking_preferences", "excluded_ingredients"]
 
@@ -28,13 +30,35 @@ def category_tag(category: Column, tags: dict[str, str]) -> Column:
     return F.when(F.coalesce(category, F.lit("")) != "", found)
 
 
-def map_categories(intents: DataFrame, tags: dict[str, str] | None = None) -> DataFrame:
-    """Add ``category_tag``. ``tags`` is a literal table in the plan, so keep it to thousands."""
+def map_categories(intents: DataFrame, tags: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """Add ``category_tag``.
+
+    ``tags`` is a literal table in the plan, or a table of any size with columns
+    ``word`` and ``tag``: the different categories are joined with it, so what is joined back has
+    a row per category. Words are compared in lower case; of repeated ones the smallest tag counts.
+    """
+    if isinstance(tags, DataFrame):
+        return _joined_tags(intents, tags)
     return intents.withColumn(
         "category_tag", category_tag(F.col("category"), tables.CATEGORY_TAGS if tags is None else tags)
     )
 
 
+def _joined_tags(intents: DataFrame, tags: DataFrame) -> DataFrame:
+    known = tags.filter("word is not null and tag is not null").groupBy(F.lower(strip(F.col("word"))).alias("_word")).agg(F.min("tag").alias("_known"))
+    asked = intents.select("category").filter(F.coalesce("category", F.lit("")) != "").distinct()
+    word = F.lower(strip(F.col("category")))
+    singular = F.when(word.endswith("s"), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
+    ways = asked.select("category", F.explode(F.array(*[F.struct(F.lit(i).alias("way"), w.alias("_word")) for i, w in enumerate((word, singular))])).alias("w"))
+    found = ways.select("category", "w.way", "w._word").join(known, "_word").groupBy("category").agg(F.min_by("_known", "way").alias("_found"))
+    spelled = F.concat(F.lit("en:"), F.replace(word, F.lit(" "), F.lit("-")))
+    every = asked.join(found, "category", "left").select("category", F.coalesce("_found", spelled).alias("category_tag"))
+    own = cut_lineage(intents.withColumn("_id", F.monotonically_increasing_id()))
+    joined = checked_join(own, cut_lineage(every), ["category"], ["_id"]).drop("_part")
+    rest = own.filter(F.coalesce("category", F.lit("")) == "").withColumn("category_tag", F.lit(None).cast("string"))
+    return joined.unionByName(rest).select(*intents.columns, "category_tag")
+
+
 def remove_category(intents: DataFrame) -> DataFrame:
     """Drop the category of every intent and say so in ``category_log``."""
     name, tag = F.coalesce("category", F.lit("")), F.coalesce("category_tag", F.lit(""))

@@ -23,7 +23,7 @@ from larder.session import cut_lineage
 TEXTS_PER_PART = 500  # texts of one intent scored in one task (50 candidates each)
 
 
-def read_queries(log: DataFrame, tags: dict[str, str] | None = None, translation: str | None = None) -> DataFrame:
+def read_queries(log: DataFrame, tags: dict[str, str] | DataFrame | None = None, translation: str | None = None) -> DataFrame:
     """One row per different text of the log, with its intent and category tag.
 
     With ``translation`` (a column of the log) a text is read once per translation,
@@ -116,7 +116,7 @@ def answer_intents(
 def answer_log(
     products: DataFrame,
     log: DataFrame,
-    tags: dict[str, str] | None = None,
+    tags: dict[str, str] | DataFrame | None = None,
     max_results: int = tables.RESULT_ROWS,
     translation: str | None = None,
     semantic: bool = True,
@@ -159,7 +159,7 @@ def answer_read(
 def answer_whole_log(
     products: DataFrame,
     log: DataFrame,
-    tags: dict[str, str] | None = None,
+    tags: dict[str, str] | DataFrame | None = None,
     max_results: int = tables.RESULT_ROWS,
     translation: str | None = None,
     semantic: bool = True,
