@@ -29,7 +29,7 @@ from larder.llm.pieces import default_vocabulary
 from larder.llm.shards import default_tokenizer
 
 SLICE_BYTES = 250_000  # of texts that are merged at a time
-KNOWN_CHUNKS = 700_000  # chunks a worker keeps the ids of, on each side; results do not depend on it
+KNOWN_CHUNKS = 400_000  # chunks a worker keeps the ids of, on each side; results do not depend on it
 HEAD_PAIRS = 100_000  # frequent pairs that are broadcast; results do not depend on it
 _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = True

@@ -18,6 +18,8 @@ KNOWN_CHUNKS = 1_500_000  # a worker that has this many starts anew; results do
 # Letters that tokenizers may count as white space too.
 _WIDE_SPACES = [c.encode() for c in map(chr, [0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029,
                                               0x202F, 0x205F, 0x3000, 0xFEFF])]
+_WIDE_ENDS = np.zeros(256, bool)
+_WIDE_ENDS[[c[-1] for c in _WIDE_SPACES]] = True
 
 
 def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -35,6 +37,7 @@ def spans(text: kernel.Text, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begins = np.zeros(n + 1, bool)
     begins[1:n] = space[1:] & ~space[:-1]
     at = np.flatnonzero(begins)
+    at = at[_WIDE_ENDS[text.data[at - 1]]]
     for wide in _WIDE_SPACES:  # no chunk begins right after one
         last = text.data[at - 1] == wide[-1]
         for back in range(2, len(wide) + 1):
