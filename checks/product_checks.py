@@ -199,6 +199,24 @@ def text_value(spark, folder):
         "text", "entries", "struct", "written", "written_dict")])
 
 
+# Escapes, an apostrophe, texts side by side, a list in a tuple, a last comma; and texts that are no literal.
+ESCAPED = {
+    "escaped": r"""concat('[{\'lang\': \'en\', \'text\': \'L\\\'huile ', product_name, ' \\x41\\u00e9\'}, ]')""",
+    "beside": r"""concat('[None, {"lang": \'fr\', "text": "nom"}, {\'lang\': "main", \'text\': "', brands, '" \' end\'}]')""",
+    "plain": r"""concat('[None, 12, True, \'', brands, ', x\']')""",
+    "broken": r"""concat('[{\'text\': \'', brands, '\']')""",
+    "bare": r"""concat('[', brands, ']')""",
+}
+
+
+@check("B3_escaped_literals", CAT + """
+SELECT code, 'L\'\'huile ' || product_name || ' Aé' AS escaped, brands || ' end' AS beside, brands || ', x' AS plain,
+  '[{\'\'text\'\': \'\'' || brands || '\'\']' AS broken, '[' || brands || ']' AS bare FROM catalog""")
+def escaped_literals(spark, folder):
+    df = catalog(spark, folder).selectExpr("code", *[f"{sql} AS {name}" for name, sql in ESCAPED.items()])
+    return df.select("code", *[V.text_value(F.col(n), T.StringType()).alias(n) for n in ESCAPED])
+
+
 @check("B4_grade_value", PROD + "SELECT code, nutriscore FROM prod")
 def grade_value(spark, folder):
     df = catalog(spark, folder)
@@ -321,7 +339,7 @@ def image_url(spark, folder):
         F.expr("array(named_struct('key', '1', 'rev', 1, 'sizes', map('100', 1)), "
                "named_struct('key', 'front_fr', 'rev', 4, 'sizes', map('100', 1, '400', 2)))").alias("images"),
         F.lit("[{'key': 'front', 'rev': None, 'sizes': {'100': {'h': 1}, '200': {'h': 2}}}]").alias("written"))
-    written = F.replace(F.col("written"), F.lit("None"), F.lit("null"))
+    written = F.col("written")
     return df.select(
         "code",
         V.image_url(F.col("direct"), F.col("images"), df.schema["images"].dataType, F.col("barcode"), V.Site())

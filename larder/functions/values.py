@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder import tables
+from larder.functions.literals import json_of_literal
 from larder.functions.text import fold_accents, literal_map, strip, tokens
 
 LANGUAGE_PREFIX = "^[a-z]{2}:"
 QUOTED_ITEM = "'([^']+)'|\"([^\"]+)\""
-JSON_LIKE = {"allowSingleQuotes": "true"}
 
 # scheme, authority, path, query, fragment of a URL (groups 2, 4, 5, 7, 9)
 URL_PARTS = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
@@ -87,18 +87,22 @@ def _preferred_text(entries: Column, language, own_text, any_text) -> Column:
 
 
 def _written_text(value: Column) -> Column:
-    """Text inside a written-out list or dictionary such as ``[{'lang': 'en', 'text': 'x'}]``."""
-    json = F.regexp_replace(value, r"([:,\[]\s*)None(?=\s*[,}\]])", "$1null")
-    items = F.from_json(json, "array<string>", JSON_LIKE)
-    as_map = lambda item: F.from_json(item, "map<string,string>", JSON_LIKE)
-    # A plain item of the list counts as an entry without a language.
-    entries = F.transform(
-        F.filter(items, lambda item: item.isNotNull()),
-        lambda item: F.when(item.startswith("{"), as_map(item)).otherwise(F.create_map(F.lit(""), item)),
-    )
+    """Text inside a list or dictionary written out as a Python literal, such as ``[{'lang': 'en', 'text': 'x'}]``."""
+    as_map = lambda item: F.from_json(item, "map<string,string>")
     get = lambda name: (lambda entry: F.try_element_at(entry, F.lit(name)))
-    listed = _preferred_text(entries, get("lang"), lambda e: strip(get("text")(e)), _entry_text)
-    return F.when(value.startswith("{"), _entry_text(as_map(json))).when(value.startswith("["), listed)
+
+    def text_of(json: Column) -> Column:
+        # A plain item of the list counts as an entry without a language.
+        entries = F.transform(
+            F.filter(F.from_json(json, "array<string>"), lambda item: item.isNotNull()),
+            lambda item: F.when(item.startswith("{"), as_map(item)).otherwise(F.create_map(F.lit(""), item)),
+        )
+        listed = _preferred_text(entries, get("lang"), lambda e: strip(get("text")(e)), _entry_text)
+        return F.when(json.startswith("{"), _entry_text(as_map(json))).when(json.startswith("["), listed)
+
+    # As the only item of a list, the long expression stands in the plan once.
+    written = F.when(F.regexp_like(value, F.lit(r"^[\[{]")), F.array(json_of_literal(value, texts_only=True)))
+    return F.get(F.transform(written, text_of), F.lit(0))
 
 
 def text_value(value: Column, kind: T.DataType) -> Column:
@@ -123,11 +127,15 @@ def text_value(value: Column, kind: T.DataType) -> Column:
     return F.lit(None).cast("string")
 
 
-def grade_value(value: Column, kind: T.DataType) -> Column:
-    grade = F.lower(text_value(value, kind))
+def grade_of(text: Column) -> Column:
+    grade = F.lower(text)
     return F.when(~grade.isin(tables.BLANK_GRADES), grade)
 
 
+def grade_value(value: Column, kind: T.DataType) -> Column:
+    return grade_of(text_value(value, kind))
+
+
 def canonical_nutrient(name: Column) -> Column:
     return F.when(name == "fibre_100g", F.lit("fiber_100g")).otherwise(F.replace(name, F.lit("-"), F.lit("_")))
 
@@ -204,8 +212,9 @@ def _image_entries(images: Column, kind: T.DataType) -> Column:
     """Image lists as array<struct<key, rev, size>>, NULL when there is no list."""
     if isinstance(kind, T.StringType):
         written = "array<struct<key:string,rev:string,sizes:map<string,string>>>"
-        parsed = F.from_json(images, written, JSON_LIKE)
-        return _image_entries(parsed, T._parse_datatype_string(written))
+        kind = T._parse_datatype_string(written)
+        parsed = F.transform(F.array(json_of_literal(images)), lambda json: _image_entries(F.from_json(json, written), kind))
+        return F.get(parsed, F.lit(0))
     if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)):
         return F.lit(None).cast("array<struct<key:string,rev:string,size:string>>")
     fields = {f.name: f.dataType for f in kind.elementType.fields}

@@ -41,6 +41,10 @@ def category_terms(df: DataFrame) -> Column:
     return F.coalesce(F.split(value.cast("string"), ", "), V.empty_list())
 
 
+# Fields of normalised products that are texts.
+TEXT_FIELDS = ["product_name", "brands", "nutriscore_grade", "ecoscore_grade", "ingredients_text", "image_url", "url"]
+
+
 def normalize_products(df: DataFrame, site: V.Site = V.Site(), country: str = tables.COUNTRY_TAG) -> DataFrame:
     """One narrow pass over the table: no shuffle, no Python.
 
@@ -51,8 +55,15 @@ def normalize_products(df: DataFrame, site: V.Site = V.Site(), country: str = ta
     def get(name: str) -> tuple[Column, T.DataType]:
         return field(df, name, tables.SEARCH_FIELDS)
 
+    # All plain texts are read by one expression over a list of them: the plan holds it once, not once per column.
+    plain = [n for n in TEXT_FIELDS if isinstance(get(n)[1], T.StringType)]
+    texts = F.transform(F.array(*[get(n)[0] for n in plain]), lambda value: V.text_value(value, T.StringType()))
+
+    def text(name: str) -> Column:
+        return F.get("_texts", F.lit(plain.index(name))) if name in plain else V.text_value(*get(name))
+
     code = F.coalesce(get("code")[0].cast("string"), F.lit(""))
-    name = F.coalesce(V.text_value(*get("product_name")), F.lit("Unknown"))
+    name = F.coalesce(text("product_name"), F.lit("Unknown"))
     additives = V.additive_codes(*get("additives_tags"))
     counted = get("additives_n")[0].try_cast("int")
     amounts = {n: c.try_cast("double") for n in tables.NUTRIENTS if (c := nutrient(df, n)) is not None}
@@ -63,25 +74,25 @@ def normalize_products(df: DataFrame, site: V.Site = V.Site(), country: str = ta
     if isinstance(nova_kind, T.StringType):  # a text counts only if it is a whole number
         raw_nova = F.when(F.trim(raw_nova).rlike(r"^[+-]?[0-9]+$"), F.trim(raw_nova))
 
-    staged = df.select(
+    staged = (df.withColumn("_texts", texts) if plain else df).select(
         code.alias("code"),
         name.alias("name"),
-        F.coalesce(V.text_value(*get("brands")), F.lit("")).alias("brands"),
+        F.coalesce(text("brands"), F.lit("")).alias("brands"),
         V.list_value(*get("categories")).alias("categories"),
         V.list_value(*get("labels")).alias("labels"),
         V.list_value(*get("ingredients_tags")).alias("ingredients_tags"),
         additives.alias("additives"),
         counted.alias("_counted"),
         *[amounts.get(n, F.lit(None).cast("double")).alias(n) for n in tables.NUTRIENTS],
-        V.grade_value(*get("nutriscore_grade")).alias("nutriscore"),
-        V.grade_value(*get("ecoscore_grade")).alias("ecoscore"),
+        V.grade_of(text("nutriscore_grade")).alias("nutriscore"),
+        V.grade_of(text("ecoscore_grade")).alias("ecoscore"),
         raw_nova.try_cast("double").cast("int").alias("nova_group"),
-        F.coalesce(V.text_value(*get("ingredients_text")), F.lit("")).alias("ingredients_text"),
-        V.text_value(*get("image_url")).alias("_image"),
+        F.coalesce(text("ingredients_text"), F.lit("")).alias("ingredients_text"),
+        text("image_url").alias("_image"),
         get("images")[0].alias("_images"),
-        V.text_value(*get("url")).alias("_url"),
+        text("url").alias("_url"),
         get("unique_scans_n")[0].cast("bigint").alias("unique_scans_n"),
-        *[text.alias(n) for n, text in filter_texts(df).items()],
+        *[joined.alias(n) for n, joined in filter_texts(df).items()],
         category_terms(df).alias("category_terms"),
         (in_country(country_value, country_kind, country) if has_country else F.lit(True)).alias("in_country"),
         grade_points(raw_grade).alias("grade_points"),
