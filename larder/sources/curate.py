@@ -69,14 +69,15 @@ def curate(
 ) -> DataFrame:
     """Keep one country's products in lean form; all of them, or ``limit`` in code order if asked for.
 
-    Products without a code come last. The order makes the cut repeatable.
+    Products without a code come last; equal codes go by a hash of the row. The order makes the cut repeatable.
     """
     value, kind = field(df, "countries_tags", {"countries_tags": ["countries_tags"]})
     test = is_country_record if exact_elements else in_country
     kept = df.filter(test(value, kind, country))
     if limit is not None:
         code, _ = field(df, "code", tables.CURATION_FIELDS)
-        kept = kept.orderBy(code.asc_nulls_last()).limit(limit)
+        row = F.xxhash64(*[f"`{f.name}`" for f in df.schema.fields if "map" not in f.dataType.simpleString()])
+        kept = kept.orderBy(code.asc_nulls_last(), row).limit(limit)
     return lean_projection(kept, all_columns)
 
 

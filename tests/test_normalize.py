@@ -75,3 +75,10 @@ def test_curation_keeps_every_row_unless_asked(spark):
 def test_processing_group_as_text_must_be_a_whole_number(spark):
     raw = spark.createDataFrame([("1", "3"), ("2", "3.0"), ("3", " 4 "), ("4", "x")], "code string, nova_group string")
     assert {r["code"]: r["nova_group"] for r in normalize_products(raw).collect()} == {"1": 3, "2": None, "3": 4, "4": None}
+
+
+def test_a_cut_among_equal_codes_is_repeatable(spark):
+    rows = [(None if i % 2 else "7", f"p{i}", "en:canada") for i in range(40)]
+    make = lambda order: spark.createDataFrame([rows[i] for i in order], "code string, product_name string, countries_tags string").repartition(3)
+    cut = lambda df: sorted(r["product_name"] for r in curate(df, limit=25).collect())
+    assert cut(make(range(40))) == cut(make(reversed(range(40)))) and len(cut(make(range(40)))) == 25
