@@ -17,7 +17,8 @@ first compared with one pivot, the member that shares most with others; members
 comparison, so a group of near copies costs a row per member and not all pairs.
 Of the lists that still hold different components, short ones compare all
 their pairs; the classes of the others are joined once more, on the rarest
-elements of their whole sets.
+elements of their whole sets. Whole sets are sent only to pairs whose
+signatures allow a link.
 """
 
 from __future__ import annotations
@@ -32,18 +33,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import kernel
-from larder.llm.common import query, read, stored
+from larder.llm.common import query, read, sieved, stored
 from larder.llm.components import components
 from larder.session import cut_lineage
 
 SHINGLE_WORDS = 5
 PERCENT = 80
 LARGEST_LIGHT = 24  # sizes up to which the boundary may lie: beyond, subsets are too many in any case
-STAR_ROUNDS = 3
-SENT_BYTES = 32_000_000  # hashes of all candidate sets up to which they are broadcast, after a count
+STAR_ROUNDS = 1  # a cluster's own lists are its rarer ones, which are kept: one round merges most of it
 SHORT_LIST = 40  # members up to which all pairs of a remaining list are compared
 SIGN_BITS = 1024  # of the signature that bounds how much two sets differ
-PAIRS_PER_ROW = 40  # all remaining pairs are compared once there are no more of them for each list row
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -176,15 +175,29 @@ def boundary(sizes: dict[int, int], percent: int = PERCENT) -> int:
     return min(range(LARGEST_LIGHT + 1), key=rows)
 
 
+def _differ(x: str, y: str) -> Column:
+    """How many elements are in one of two sets only, at least: the bits in which their signatures differ."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SIGN_BITS // 64)), F.lit(0))
+
+
+def _close(percent: int) -> Column:
+    """Whether signatures allow a link of the sets with ``n, bits`` and ``n2, bits2``."""
+    return (100 + percent) * _differ("bits", "bits2") <= (100 - percent) * (F.col("n") + F.col("n2"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    a = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    b = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    if (sets.agg(F.sum("n")).first()[0] or 0) * 8 <= SENT_BYTES:
-        a, b = F.broadcast(a), F.broadcast(b)
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(b, "b").join(a, "a").withColumn("shared", shared)
-            .filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
+    """The pairs (a, b) of classes whose sets are similar enough.
+
+    Signatures are compared first; whole sets go only to the pairs that are left.
+    """
+    signed = sets.select("class", "n", "bits")
+    other = signed.select(F.col("class").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    near = stored(pairs.join(signed.withColumnRenamed("class", "a"), "a").join(other, "b").filter(_close(percent)).select("a", "b", F.col("n") + F.col("n2")))
+    near = near.toDF("a", "b", "both")
+    sides = near.select("*", F.explode(F.array("a", "b")).alias("class")).join(sets.select("class", "shingles"), "class")
+    shared = F.size(F.array_intersect(F.col("s")[0], F.col("s")[1]))
+    return (sides.groupBy("a", "b", "both").agg(F.collect_list("shingles").alias("s")).withColumn("shared", shared)
+            .filter(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select("a", "b"))
 
 
 def _alike(x: str, y: str, percent: int) -> Column:
@@ -232,7 +245,7 @@ def _rare_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     places of the first element in common bound how many can follow it, and the
     bits that differ bound how many elements must be in one set only.
     """
-    own = left.join(sets, "class")
+    own = left.join(sets, "class").repartition("class")  # even tasks, wherever the sets lie
     one = own.select("class", F.explode("shingles").alias("token"))
     counted = one.groupBy("token").count().filter("count > 1")
     # What a single class has comes first in the order, but meets nothing: only its number matters.
@@ -243,11 +256,9 @@ def _rare_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     entries = cut_lineage(first.filter("size(tokens) > 0").select("class", "n", "label", "bits", "skipped", "tokens", F.posexplode("tokens").alias("place", "token")))
     other = entries.select(*[F.col(c).alias(f"{c}2") for c in entries.columns])
     most = F.least(F.col("n") - F.col("skipped") - F.col("place"), F.col("n2") - F.col("skipped2") - F.col("place2"))
-    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(SIGN_BITS // 64)), F.lit(0))
-    alike = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("n2"))
     met_first = F.element_at(F.array_intersect("tokens", "tokens2"), 1) == F.col("token")
     pairs = entries.join(other, (F.col("token") == F.col("token2")) & (F.col("class") < F.col("class2")) & (F.col("label") != F.col("label2"))
-                         & _alike("n", "n2", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))) & alike & met_first)
+                         & _alike("n", "n2", percent) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))) & _close(percent) & met_first)
     return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b"))
 
 
@@ -257,39 +268,28 @@ def links(documents: DataFrame, classes: DataFrame, size: int = SHINGLE_WORDS, p
     firsts = real.groupBy("class", "n").agg(F.min("doc_id").alias("doc_id"))
     lists = _lists(documents, firsts, size, percent)
     asked = lists.select("class").distinct().join(firsts, "class").select("doc_id", "class")
-    texts = documents.select("doc_id", "text").join(asked, "doc_id")
+    asked = stored(asked)
+    texts = sieved(documents.select("doc_id", "text"), asked, "doc_id").join(asked, "doc_id")
     sets = stored(texts.select("class", "text").mapInArrow(_arrays(size), "class long, n int, shingles array<long>, bits array<long>").dropDuplicates(["class"]))
-    edges = tried = None
+    edges = None
     for turn in range(STAR_ROUNDS + 1):
         # Lists that still hold two components.
         own = lists.withColumn("label", F.col("class")) if edges is None else lists.join(
             components(edges).withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         pivot = F.xxhash64("class", F.lit(turn)) if turn else F.struct(-F.col("common"), "class")
         mixed = own.groupBy("token").agg(F.min_by(F.struct("class", "n", "label"), pivot).alias("p"), F.min("label").alias("lo"),
-                                         F.max("label").alias("hi")).filter("lo < hi")
-        left = cut_lineage(own.join(mixed.select("token", "p"), "token"))
-        sizes = left.groupBy("token", "label").count().groupBy("token").agg(
-            F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        rows, pairs = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not rows and edges is not None:
-            return edges
-        every = turn == STAR_ROUNDS or (rows or 0) == 0 or turn and pairs <= PAIRS_PER_ROW * rows
-        if every:
-            counted = left.join(sizes.withColumnRenamed("n", "rows").select("token", "rows"), "token")
-            short, long = counted.filter(F.col("rows") <= SHORT_LIST), counted.filter(F.col("rows") > SHORT_LIST)
+                                         F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi")
+        left = own.join(mixed.select("token", "p", "rows"), "token")
+        if turn == STAR_ROUNDS:
+            left = cut_lineage(left)
+            short, long = left.filter(F.col("rows") <= SHORT_LIST), left.filter(F.col("rows") > SHORT_LIST)
             asked = _short_pairs(short, percent).union(_rare_pairs(long.select("class", "label").distinct(), sets, percent)).distinct()
         else:
             star = left.filter((F.col("label") != F.col("p.label")) & _alike("n", "p.n", percent))
             asked = star.select(F.least("class", "p.class").alias("a"), F.greatest("class", "p.class").alias("b")).distinct()
-        if tried is not None:
-            asked = asked.join(tried, ["a", "b"], "left_anti")
-        asked = asked if every else cut_lineage(asked)
-        tried = asked if tried is None else tried.union(asked)
         found = cut_lineage(_verified(asked, sets, percent))
         edges = found if edges is None else edges.union(found)
-        if every:
-            return edges
-    raise AssertionError("the last round compares all that is left")
+    return edges
 
 
 def jaccard_classes(documents: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

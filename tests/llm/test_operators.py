@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from larder.llm import divergence, jaccard, pieces, pii, pitman_yor, repeats, shards, site_quality, tiling, toxicity
-from larder.llm.common import FOLDS, ORACLES, QUERIES
+from larder.llm import common, divergence, jaccard, pieces, pii, pitman_yor, repeats, shards, site_quality, tiling, toxicity
+from larder.llm.common import FOLDS, ORACLES, QUERIES, sieved
 from larder.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -131,6 +131,44 @@ def test_jaccard_classes(copies, unnamed, nothing, rounds, monkeypatch):
     assert jaccard.jaccard_classes(nothing).count() == 0
 
 
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Many copies of one text that changed places of their own, some of them passed on with a few more changes; lists are long."""
+    rng, texts = np.random.default_rng(5), []
+    first = [f"w{k}" for k in range(150)]
+    for _ in range(50):
+        other = list(first)
+        for at in rng.choice(150, 5, replace=False):
+            other[at] = f"v{rng.integers(0, 9999)}"
+        texts.append(" ".join(other))
+        if rng.integers(0, 3) == 0:
+            other[int(rng.integers(0, 150))] = "again"
+            texts.append(" ".join(other))
+    texts += [" ".join([*first[:20], *(f"u{i}x{k}" for k in range(40))]) for i in range(50)]  # a passage that many share
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("short", [0, 40])
+def test_jaccard_long_lists(crowd, short, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT_LIST", short)
+    asked, rare = [], jaccard._rare_pairs
+    monkeypatch.setattr(jaccard, "_rare_pairs", lambda left, *more: asked.append(left.count()) or rare(left, *more))
+    sets = {r["doc_id"]: shingles(r["text"]) for r in crowd.collect()}
+    got, want = by_id(jaccard.jaccard_classes(crowd)), brute_components(sets)
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert asked[0] > 0 and 1 < len(set(want.values())) < len(want)
+
+
+def test_sieve_keeps_what_is_wanted(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "x") for k in range(3000)] + [(None, "y")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(k,) for k in range(0, 3000, 7)], "doc_id long")
+    assert {r["doc_id"] for r in sieved(rows, wanted, "doc_id").collect()} >= set(range(0, 3000, 7))
+    assert sieved(rows, wanted, "doc_id").count() < 600
+    assert sieved(rows, wanted.limit(0), "doc_id").count() == 0
+    monkeypatch.setattr(common, "SIEVE", 64)  # full: everything goes through
+    assert sieved(rows, wanted, "doc_id").count() == 3000
+
+
 def test_one_of_each(documents):
     kept = [r["doc_id"] for r in jaccard.one_of_each(documents).collect()]
     assert {0, 1, 5, 9}.issubset(kept) and not {6, 7, 10} & set(kept) and None in kept
