@@ -226,12 +226,13 @@ def _lists(documents: DataFrame, sizes: DataFrame, size: int, percent: int) -> D
 
 
 def _short_pairs(left: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of two labels in a list of ``left``, each made in the first list that both are in."""
-    whole = left.select("token", "class", "n", "label").join(left.groupBy("class").agg(F.collect_list("token").alias("tokens")), "class")
-    other = whole.select(*[F.col(c).alias(f"{c}2") for c in whole.columns])
-    first = F.array_min(F.array_intersect("tokens", "tokens2")) == F.col("token")
-    pairs = whole.join(other, (F.col("token") == F.col("token2")) & (F.col("class") < F.col("class2")) & (F.col("label") != F.col("label2"))
-                       & _alike("n", "n2", percent) & first)
+    """(a, b): the pairs of two labels in a list of ``left``; a pair comes once for each list that both are in.
+
+    Lists are short, so that is cheaper than sending each class's lists along to tell the first one.
+    """
+    own = left.select("token", "class", "n", "label")
+    other = own.select("token", *[F.col(c).alias(f"{c}2") for c in own.columns[1:]])
+    pairs = own.join(other, "token").filter((F.col("class") < F.col("class2")) & (F.col("label") != F.col("label2")) & _alike("n", "n2", percent))
     return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b"))
 
 
