@@ -1,7 +1,7 @@
 """Lists and dictionaries written out as Python literals, as JSON, by expressions.
 
-A text is cut into tokens, each token becomes its JSON form, and a stack of open
-brackets, folded over the tokens, says whether they fit. What is not a literal of texts, numbers,
+A text is cut into tokens, each token becomes its JSON form by itself and its neighbours' kinds, and a stack
+of open brackets, folded over the brackets only, says whether they fit. What is not a literal of texts, numbers,
 True, False, None, lists, tuples and dictionaries gives NULL.
 """
 
@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import literal_map, tokens
+from larder.functions.text import literal_map, once, tokens
 
-_STRING = r"[uU]?'(?:[^'\\\n]|\\[\s\S])*'|[uU]?\"(?:[^\"\\\n]|\\[\s\S])*\""
+_STRING = r"[uU]?'(?:[^'\\\n]++|\\[\s\S])*'|[uU]?\"(?:[^\"\\\n]++|\\[\s\S])*\""
 _NUMBER = r"[+-]?(?:\d[\d_]*(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
-_TOKEN = rf"{_STRING}|{_NUMBER}|[A-Za-z_]+|[\[\](){{}},:]|\s+|[\s\S]"
-_PIECE = r"\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\[\s\S]|[^\\]"
+_TOKEN = rf"{_STRING}|{_NUMBER}|[A-Za-z_]+|\S"  # white space between tokens is passed over
+_PIECE = r"[^\\\"\x00-\x1f]+|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|\\[0-7]{1,3}|\\[\s\S]|[^\\]"
 _SIMPLE = {'"': '\\"', "\\n": "\\n", "\\r": "\\r", "\\t": "\\t", "\\b": "\\b", "\\f": "\\f", "\\a": "\\u0007", "\\v": "\\u000b", "\\\n": "", "\\'": "'", '\\"': '\\"', "\\\\": "\\\\"}
 
 
@@ -31,21 +31,22 @@ def _code_point(number: Column) -> Column:
 
 
 def _piece(piece: Column) -> Column:
-    """One letter or escape of a text, as it is written in JSON."""
+    """One escape, sign or run of plain letters of a text, as it is written in JSON."""
     hexed = lambda start: F.conv(F.substring(piece, F.lit(start), F.length(piece)), 16, 10).cast("long")
-    return F.coalesce(
+    special = F.coalesce(
         F.try_element_at(literal_map(_SIMPLE), piece),
         F.when(F.regexp_like(piece, F.lit(r"^\\[xuU][0-9a-fA-F]{2,}$")), _code_point(hexed(3))),
         F.when(F.regexp_like(piece, F.lit(r"^\\[0-7]+$")), _unit(F.conv(F.substring(piece, F.lit(2), F.length(piece)), 8, 10).cast("long"))),
         F.when(F.length(piece) > 1, F.concat(F.lit("\\"), piece)),  # an escape without a meaning stays as it is
-        F.when(piece < " ", _unit(F.ascii(piece).cast("long"))),
-        piece,
+        _unit(F.ascii(piece).cast("long")),
     )
+    return F.when(piece.startswith("\\") | (piece == '"') | (piece < " "), special).otherwise(piece)
 
 
 def _text_token(token: Column) -> Column:
-    body = F.regexp_extract(token, r"(?s)^[uU]?.(.*).$", 1)
-    plain = ~F.regexp_like(body, F.lit(r"[\\\"\x00-\x1f]"))
+    start = F.when(F.left(token, F.lit(1)).isin("u", "U"), 3).otherwise(2)
+    body = F.substring(token, start, F.length(token) - start)
+    plain = ~F.regexp_like(token, F.lit(r"(?s)[\\\x00-\x1f]|^[uU]?'.*\""))
     return F.when(plain, body).otherwise(F.array_join(F.transform(tokens(body, _PIECE), _piece), ""))
 
 
@@ -63,39 +64,44 @@ def json_of_literal(text: Column, texts_only: bool = False) -> Column:
     Bytes, sets, complex numbers and comments are not read.
     """
     words = dict.fromkeys(["True", "False", "None"], "null") if texts_only else {"True": "true", "False": "false", "None": "null"}
-    kept = F.filter(tokens(text, _TOKEN), lambda t: ~F.regexp_like(t, F.lit(r"^\s+$")))
-    none = F.array().cast("array<string>")
-    # An open text, its parts side by side, is closed by the next token; `last` is the token before.
-    empty = F.struct(none.alias("out"), F.lit("").alias("stack"), F.lit("").alias("last"), F.lit(True).alias("ok"))
-
-    def step(done: Column, token: Column) -> Column:
-        kind = (
-            F.when(F.regexp_like(token, F.lit(r"(?s)^[uU]?['\"].*['\"]$")), F.lit("text")).when(F.regexp_like(token, F.lit(rf"^{_NUMBER}$")), F.lit("number"))
-            .when(token.isin("[", "(", "{"), F.lit("open")).when(token.isin("]", ")", "}"), F.lit("close")).when(token.isin(",", ":"), token)
-            .when(token.isin(*words), F.lit("word")).otherwise(F.lit("other"))
+    opening, closing, signs = ["[", "(", "{"], ["]", ")", "}"], [",", ":"]
+
+    def kind(token: Column) -> Column:
+        """One letter: the sign itself, t for a text, n for a number, w for a word, ? for what is in no literal."""
+        return (
+            F.when(token.isin(*opening, *closing, *signs), token).when((F.length(token) > 1) & F.right(token, F.lit(1)).isin("'", '"'), F.lit("t"))
+            .when(F.regexp_like(token, F.lit(r"^[+-]?\.?\d")), F.lit("n")).when(token.isin(*words), F.lit("w")).otherwise(F.lit("?"))
         )
-        # The kind as the only item of a list, so that the expression stands in the plan once.
-        return F.get(F.transform(F.array(kind), lambda k: with_kind(done, token, k)), F.lit(0))
-
-    def with_kind(done: Column, token: Column, kind: Column) -> Column:
-        after_text, after_comma = done["last"] == "text", done["last"] == ","
-        shut = F.when(after_text & (kind != "text"), F.array(F.lit('"'))).otherwise(none)
-        started = F.when((kind == "text") & ~after_text, F.array(F.lit('"'))).otherwise(none)
-        own = (
-            F.when(kind == "text", _text_token(token)).when(kind == "word", F.try_element_at(literal_map(words), token))
-            .when(kind == "number", F.lit("null") if texts_only else _number_token(token)).otherwise(F.translate(token, "()", "[]"))
+
+    def own(token: Column, kind: Column, following: Column) -> Column:
+        return (
+            F.when(kind == "t", _text_token(token)).when(kind == "w", F.try_element_at(literal_map(words), token))
+            .when(kind == "n", F.lit("null") if texts_only else _number_token(token))
+            .when((kind == ",") & following.isin(*closing), F.lit(""))  # a comma that ends a list
+            .otherwise(F.translate(token, "()", "[]"))
         )
-        before = F.when((kind == "close") & after_comma, F.slice(done["out"], F.lit(1), F.size(done["out"]) - 1)).otherwise(done["out"])
-        stack = F.when(kind == "open", F.concat(done["stack"], token)).when(
-            kind == "close", F.substring(done["stack"], F.lit(1), F.length(done["stack"]) - 1)).otherwise(done["stack"])
-        matches = (kind != "close") | (F.right(done["stack"], F.lit(1)) == F.translate(token, "])}", "[({"))
+
+    def quotes(before: Column, kind: Column) -> Column:
+        """A text, its parts side by side, is opened at its first part and closed by the next token."""
+        return F.when((before == "t") != (kind == "t"), F.lit('"')).otherwise(F.lit(""))
+
+    def written(found: Column, kinds: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(kinds, i), F.lit(""))
+        parts = F.transform(found, lambda token, i: F.concat(quotes(at(i - 1), at(i)), own(token, at(i), at(i + 1))))
+        return F.concat(F.array_join(parts, ""), F.when(at(F.size(kinds) - 1) == "t", F.lit('"')).otherwise(F.lit("")))
+
+    def fits(kinds: Column) -> Column:
+        # What is closed by the wrong bracket leaves a mark that nothing takes off the stack.
+        step = lambda stack, sign: (
+            F.when(sign.isin(*opening), F.concat(stack, sign))
+            .when(F.right(stack, F.lit(1)) == F.translate(sign, "])}", "[({"), F.substring(stack, F.lit(1), F.length(stack) - 1))
+            .otherwise(F.concat(stack, F.lit("!"))))
+        stack = F.aggregate(F.filter(kinds, lambda k: k.isin(*opening, *closing)), F.lit(""), step)
         # A comma after nothing ends no list.
-        lonely = (kind == "close") & after_comma & F.element_at(F.concat(F.array(F.lit("[")), done["out"]), -2).isin("[", "{", ",")
-        return F.struct(F.concat(before, shut, started, F.array(own)).alias("out"), stack.alias("stack"), kind.alias("last"),
-                        (done["ok"] & (kind != "other") & matches & ~lonely).alias("ok"))
+        lonely = F.regexp_like(F.array_join(kinds, ""), F.lit(r"(?:^|[\[({,]),[\])}]"))
+        return ~F.array_contains(kinds, "?") & ~lonely & (stack == "")
 
-    def finish(done: Column) -> Column:
-        ended = F.concat(done["out"], F.when(done["last"] == "text", F.array(F.lit('"'))).otherwise(F.array().cast("array<string>")))
-        return F.when(done["ok"] & (done["stack"] == ""), F.array_join(ended, ""))
+    def whole(found: Column) -> Column:
+        return once(F.transform(found, kind), lambda kinds: F.when(fits(kinds), written(found, kinds)))
 
-    return F.when(F.regexp_like(text, F.lit(r"^\s*[\[{(]")), F.aggregate(kept, empty, step, finish))
+    return F.when(F.regexp_like(text, F.lit(r"^\s*[\[{(]")), once(tokens(text, _TOKEN), whole))

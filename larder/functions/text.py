@@ -6,7 +6,7 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -120,3 +120,8 @@ def longest_first(phrases: Iterable) -> list:
 
 def tokens(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value as the only item of a list: it stands in the plan once and is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

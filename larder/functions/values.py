@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from larder import tables
 from larder.functions.literals import json_of_literal
-from larder.functions.text import fold_accents, literal_map, strip, tokens
+from larder.functions.text import fold_accents, literal_map, once, strip, tokens
 
 LANGUAGE_PREFIX = "^[a-z]{2}:"
 QUOTED_ITEM = "'([^']+)'|\"([^\"]+)\""
@@ -100,16 +100,15 @@ def _written_text(value: Column) -> Column:
         listed = _preferred_text(entries, get("lang"), lambda e: strip(get("text")(e)), _entry_text)
         return F.when(json.startswith("{"), _entry_text(as_map(json))).when(json.startswith("["), listed)
 
-    # As the only item of a list, the long expression stands in the plan once.
-    written = F.when(F.regexp_like(value, F.lit(r"^[\[{]")), F.array(json_of_literal(value, texts_only=True)))
-    return F.get(F.transform(written, text_of), F.lit(0))
+    written = F.when(F.regexp_like(value, F.lit(r"^[\[{]")), json_of_literal(value, texts_only=True))
+    return once(written, text_of)
 
 
 def text_value(value: Column, kind: T.DataType) -> Column:
     """Any text-like column as trimmed text, NULL when there is none."""
     if isinstance(kind, T.StringType):
         stripped = F.nullif(strip(value), F.lit(""))
-        return F.coalesce(_written_text(stripped), stripped)
+        return once(stripped, lambda text: F.coalesce(_written_text(text), text))
     if isinstance(kind, T.StructType):
         names = kind.fieldNames()
         ordered = (["text"] if "text" in names else []) + [n for n in names if n != "text"]
@@ -213,8 +212,7 @@ def _image_entries(images: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         written = "array<struct<key:string,rev:string,sizes:map<string,string>>>"
         kind = T._parse_datatype_string(written)
-        parsed = F.transform(F.array(json_of_literal(images)), lambda json: _image_entries(F.from_json(json, written), kind))
-        return F.get(parsed, F.lit(0))
+        return once(F.from_json(json_of_literal(images), written), lambda entries: _image_entries(entries, kind))
     if not (isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)):
         return F.lit(None).cast("array<struct<key:string,rev:string,size:string>>")
     fields = {f.name: f.dataType for f in kind.elementType.fields}
@@ -242,16 +240,16 @@ def _image_entries(images: Column, kind: T.DataType) -> Column:
 
 def image_url(direct: Column, images: Column, images_kind: T.DataType, code: Column, site: Site) -> Column:
     """The direct picture URL, else one built from the preferred entry of the image list."""
-    entries = _image_entries(images, images_kind)
+    folder = F.nullif(barcode_path(code), F.lit(""))
 
-    def keyed(wanted: str) -> Column:
-        return F.try_element_at(F.filter(entries, lambda e: e["key"] == wanted), F.lit(1))
+    def chosen(entries: Column) -> Column:
+        keyed = lambda wanted: F.try_element_at(F.filter(entries, lambda e: e["key"] == wanted), F.lit(1))
+        return F.coalesce(*map(keyed, tables.IMAGE_KEYS), F.try_element_at(entries, F.lit(1)))
 
-    chosen = F.coalesce(*map(keyed, tables.IMAGE_KEYS), F.try_element_at(entries, F.lit(1)))
-    key = F.coalesce(F.nullif(strip(chosen["key"]), F.lit("")), F.lit("front"))
-    name = F.concat_ws(".", key, chosen["rev"], chosen["size"], F.lit("jpg"))
-    folder = F.nullif(barcode_path(code), F.lit(""))
-    built = F.when(
-        chosen.isNotNull() & folder.isNotNull(), F.concat_ws("/", F.lit(site.image_base), folder, name)
-    )
+    def address(entry: Column) -> Column:
+        key = F.coalesce(F.nullif(strip(entry["key"]), F.lit("")), F.lit("front"))
+        name = F.concat_ws(".", key, entry["rev"], entry["size"], F.lit("jpg"))
+        return F.when(entry.isNotNull() & folder.isNotNull(), F.concat_ws("/", F.lit(site.image_base), folder, name))
+
+    built = once(_image_entries(images, images_kind), lambda entries: once(chosen(entries), address))
     return F.coalesce(direct, built, F.lit(""))

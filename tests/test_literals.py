@@ -57,3 +57,11 @@ def test_equals_pythons_reader(spark):
 def test_texts_only(spark):
     row = spark.createDataFrame([("[1, True, 'x', None]",)], "t string").select(json_of_literal(F.col("t"), texts_only=True).alias("j")).first()
     assert json.loads(row["j"]) == [None, None, "x", None]
+
+
+def test_long_literals_are_read(spark):
+    # Every letter of a text was a step of the pattern's own stack, and every token copied the list of all before it.
+    written = ["['" + "x" * 50_000 + "']", repr([["a", 1]] * 4_000), "[" * 40 + "'a'" + ",]" * 40, "[(]", "[')', ']']"]
+    rows = spark.createDataFrame(list(enumerate(written)), "id int, text string").select("id", json_of_literal(F.col("text")).alias("json")).collect()
+    for r in rows:
+        assert (None if r["json"] is None else json.loads(r["json"])) == read(written[r["id"]])
