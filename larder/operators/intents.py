@@ -46,14 +46,15 @@ def map_categories(intents: DataFrame, tags: dict[str, str] | DataFrame | None =
 
 def _joined_tags(intents: DataFrame, tags: DataFrame) -> DataFrame:
     known = tags.filter("word is not null and tag is not null").groupBy(F.lower(strip(F.col("word"))).alias("_word")).agg(F.min("tag").alias("_known"))
-    asked = intents.select("category").filter(F.coalesce("category", F.lit("")) != "").distinct()
+    # Stored first: Spark pushes a filter on a parsed column through the whole parser, and down to the rows its texts come from.
+    own = cut_lineage(intents.withColumn("_id", F.monotonically_increasing_id()))
+    asked = own.select("category").filter(F.coalesce("category", F.lit("")) != "").distinct()
     word = F.lower(strip(F.col("category")))
     singular = F.when(word.endswith("s"), F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word)
     ways = asked.select("category", F.explode(F.array(*[F.struct(F.lit(i).alias("way"), w.alias("_word")) for i, w in enumerate((word, singular))])).alias("w"))
     found = ways.select("category", "w.way", "w._word").join(known, "_word").groupBy("category").agg(F.min_by("_known", "way").alias("_found"))
     spelled = F.concat(F.lit("en:"), F.replace(word, F.lit(" "), F.lit("-")))
     every = asked.join(found, "category", "left").select("category", F.coalesce("_found", spelled).alias("category_tag"))
-    own = cut_lineage(intents.withColumn("_id", F.monotonically_increasing_id()))
     joined = checked_join(own, cut_lineage(every), ["category"], ["_id"]).drop("_part")
     rest = own.filter(F.coalesce("category", F.lit("")) == "").withColumn("category_tag", F.lit(None).cast("string"))
     return joined.unionByName(rest).select(*intents.columns, "category_tag")
