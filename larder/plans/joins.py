@@ -61,7 +61,8 @@ def spread_join(
         .drop("_parts")
     )
     if heavy:
-        left = evenly(left, *keys, "_part")
+        # Adaptive execution would broadcast a side of few bytes and leave the other where it lay, in a few uneven tasks.
+        left, right = evenly(left, *keys, "_part"), right.hint("merge")
     return left.join(right, [*keys, "_part"])
 
 

@@ -200,7 +200,8 @@ def _by_blocks(catalog: DataFrame, offers: DataFrame, rest: DataFrame, limit: in
     found, going, done, size = None, rest.select("intent_id"), 0, blocks.FIRST_BLOCKS
     while True:
         now = visits.filter((F.col("turn") > done) & (F.col("turn") <= done + size)).join(going, "intent_id", "left_semi")
-        likely = blocks.visited_pairs(indexed, now)
+        # Stored, as both joins below count the loads of what they are given before they join it.
+        likely = cut_lineage(blocks.visited_pairs(indexed, now))
         # The wide rows are fetched for pairs within the limits only.
         fetched = spread_join(likely, catalog, ROW, ["intent_id"]).drop("_part")
         asked = spread_join(fetched, rest, ["intent_id"], ROW).drop("_part")

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from larder.functions.values import Site, image_url
 from larder.operators.intents import map_categories
+from larder.plans.joins import spread_join
 from larder.sources import fixtures
 
 
@@ -40,3 +41,11 @@ def test_categories_are_stored_before_they_are_filtered(spark):
     rows = map_categories(parsed, tags).collect()
     assert {(r["text"], r["category_tag"]) for r in rows} == {("snacks", "en:small"), ("", None)}
     assert seen.value == 2
+
+
+def test_heavy_joins_stay_spread(spark):
+    asked = spark.range(1000).selectExpr("id % 40 AS block", "id AS intent_id")
+    held = spark.range(400).selectExpr("id % 40 AS block", "id AS row")
+    joined = spread_join(asked, held, ["block"], ["intent_id"], 10, heavy=True)
+    assert len(joined.collect()) == 10_000
+    assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()  # no side of few bytes is broadcast
