@@ -4,8 +4,8 @@ Two sets of generators propose spans. The strict ones have a fixed format and a
 check (parts of an address, digit counts, check digits) and always stay. The
 loose ones take in what people write to get around such formats: spelled-out
 signs in addresses, phone numbers without a plus, digits grouped in odd ways.
-Trees are boosted on a bounded sample to tell personal data in such forms from
-what else the loose formats catch. The sample's strict spans, rewritten in the
+Trees are boosted on all documents to tell personal data in such forms from
+what else the loose formats catch. The documents' strict spans, rewritten in the
 loose forms at their place, are the examples; the counterexamples are numbers
 and signs put into neutral places, and candidates that lie in data of another
 kind or inside a word. A threshold per kind is then set on examples the trees
@@ -13,7 +13,8 @@ have not seen. A loose span stays if it reaches its threshold and overlaps no
 strict span.
 
 All of it is built-in expressions: the fitted trees become nested conditions,
-so scoring needs no shuffle and no Python. Only the bounded sample is shuffled.
+so scoring needs no shuffle and no Python. Examples with equal features are
+counted inside each task: only different ones, with their counts, are shuffled.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ from larder.llm.common import query, read
 from larder.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCUMENTS = 20_000  # whose candidates fit the trees and set the thresholds
 TREES, DEPTH = 6, 3
-PRECISION = 0.98  # of a kind's spans above its threshold, on the sample
+PRECISION = 0.98  # of a kind's spans above its threshold, on the examples that fit no tree
 LEAST_SPANS = 20  # spans that must be above a threshold for it to count
 CONTEXT = 24  # letters before a span that are looked at
 
@@ -207,23 +207,28 @@ class Scorer:
         return lambda span: self.margin(kind, _features(kind, F.col("_text"), span)) >= self.thresholds[kind]
 
 
-def fit(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Scorer | None:
-    """Boost trees on examples from about ``sample_documents`` documents; None if a class is missing.
+def counted_examples(documents: DataFrame) -> DataFrame:
+    """The different examples of all documents and how many there are of each: (side, kind, label, features, ``rows``)."""
+    found = _examples(_spans(documents)).withColumn("side", F.pmod("order", F.lit(2)))
+    return found.groupBy("side", "kind", "label", *FEATURES).agg(F.count(F.lit(1)).alias("rows"))
 
-    Documents are drawn by a hash of their row. Half of the examples fit the
-    trees, the other half sets the thresholds.
+
+def fit(documents: DataFrame) -> Scorer | None:
+    """Boost trees on the examples of all documents; None if a class is missing.
+
+    Half of the examples fit the trees, the other half sets the thresholds.
     """
-    every = -(-documents.count() // sample_documents) or 1
-    drawn = documents.filter(F.pmod(F.xxhash64(*[f"`{c}`" for c in documents.columns]), F.lit(every)) == 0)
-    rows = cut_lineage(_examples(_spans(drawn)))
-    fitting, rest = rows.filter("pmod(order, 2) = 0"), rows.filter("pmod(order, 2) = 1")
+    rows = cut_lineage(counted_examples(documents))
+    fitting, rest = rows.filter("side = 0"), rows.filter("side = 1")
     if fitting.agg(F.countDistinct("label")).first()[0] < 2:
         return None
-    vectors = VectorAssembler(inputCols=["kind", *FEATURES], outputCol="features").transform(fitting).select("features", "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7).fit(vectors.coalesce(1))
+    vectors = VectorAssembler(inputCols=["kind", *FEATURES], outputCol="features").transform(fitting)
+    # What differs is few rows, as the formats bound a value's length; in one order, the sums of every run are the same.
+    ordered = vectors.coalesce(1).sortWithinPartitions("kind", *FEATURES, "label").select("features", "label", F.col("rows").cast("double").alias("weight"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7, weightCol="weight").fit(ordered)
     scorer = Scorer([t._call_java("rootNode") for t in model.trees], [float(w) for w in model.treeWeights], {})
-    margins = rest.select(F.col("kind"), "label", scorer.margin(F.col("kind"), {n: F.col(n) for n in FEATURES}).alias("margin"))
-    levels = margins.groupBy("kind", "margin").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("rows")).collect()  # few: sums of leaves
+    margins = rest.select(F.col("kind"), "label", "rows", scorer.margin(F.col("kind"), {n: F.col(n) for n in FEATURES}).alias("margin"))
+    levels = margins.groupBy("kind", "margin").agg(F.sum(F.col("label") * F.col("rows")).alias("good"), F.sum("rows").alias("rows")).collect()  # few: sums of leaves
     for code, kind in enumerate(KINDS):
         good = total = 0
         chosen = None
