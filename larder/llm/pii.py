@@ -154,33 +154,46 @@ def _neutral(text: Column) -> Column:
     return F.struct(before.alias("before"), value.alias("value"), after.alias("after"))
 
 
+def _meets(a: Column, b: Column) -> Column:
+    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+
+
+def _snippets(kind: str) -> Column:
+    """(kind, label, order, natural, before, value, after) of each example of a kind that a row of ``_spans`` gives."""
+    text, x = F.col("_text"), F.col("_neutral")
+    row = lambda label, natural, order, before, value, after: F.struct(
+        F.lit(KINDS.index(kind)).alias("kind"), F.lit(label).alias("label"), order.alias("order"), F.lit(natural).alias("natural"),
+        before.alias("before"), value.alias("value"), after.alias("after"))
+    before = lambda s: F.substring(text, F.greatest(s["start"] + 1 - CONTEXT, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
+    after = lambda s: F.substring(text, s["end"] + 1, F.lit(CONTEXT))
+    order = lambda s: F.xxhash64(text, s["start"])  # noqa: E731  all forms of a span are on one side
+    forms = F.flatten(F.transform(kind, lambda s: F.transform(F.array(*_variants(kind, s["value"])), lambda v: row(1.0, False, order(s), before(s), v, after(s)))))
+    plain = ~x["before"].rlike(HINTS) & ~x["before"].rlike("[0-9@+]")
+    neutral = F.filter(F.array(row(0.0, False, F.xxhash64(text), x["before"], x["value"], x["after"])), lambda _: plain)
+    others = F.concat(*[k for k in KINDS if k != kind])
+    inside = lambda s: F.substring(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)).rlike("[0-9A-Za-z]")
+    wrong = F.filter(f"loose_{kind}", lambda s: ~F.exists(kind, lambda t: _meets(t, s)) & (inside(s) | F.exists(others, lambda t: _meets(t, s))))
+    return F.concat(forms, neutral, F.transform(wrong, lambda s: row(0.0, True, order(s), before(s), s["value"], after(s))))
+
+
+def _by_kind(made: Callable[[str], Column]) -> Column:
+    """What ``made`` gives for the kind that ``kind`` is the number of."""
+    return reduce(lambda found, k: found.when(F.col("kind") == KINDS.index(k), made(k)), KINDS, F)
+
+
 def _examples(rows: DataFrame) -> DataFrame:
-    """One row per example: its kind, whether it is personal data, and its features."""
-    found = []
-    columns = lambda kind, label, order: [
-        F.lit(KINDS.index(kind)).cast("double").alias("kind"), F.lit(label).alias("label"), order.alias("order"),
-        *[c.alias(n) for n, c in _features(kind, F.col("_text"), F.col("span")).items()]]
-    placed = F.struct(F.length("before").alias("start"), (F.length("before") + F.length("value")).alias("end"))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    snippet = [F.concat("before", "value", "after").alias("_text"), placed.alias("place"), "origin"]
-    for kind in KINDS:
-        loose = lambda texts: texts.select(
-            "_text", "origin", F.explode(F.filter(_found(F.col("_text"), LOOSE[kind]), lambda s: meets(s, F.col("place")))).alias("span"))
-        span = F.col("strict_span")
-        strict = rows.select("_text", F.explode(kind).alias("strict_span")).select(
-            F.substring("_text", F.greatest(span["start"] + 1 - CONTEXT, F.lit(1)), F.least(span["start"], F.lit(CONTEXT))).alias("before"),
-            F.explode(F.array(*_variants(kind, span["value"]))).alias("value"), F.substring("_text", span["end"] + 1, F.lit(CONTEXT)).alias("after"),
-            F.xxhash64("_text", "strict_span.start").alias("origin"))  # all forms of a span are on one side
-        found.append(loose(strict.select(*snippet)).select(*columns(kind, 1.0, F.col("origin"))))
-        neutral = rows.select(_neutral(F.col("_text")).alias("x"), F.xxhash64("_text").alias("origin")).select("x.*", "origin")
-        neutral = neutral.filter(~F.col("before").rlike(HINTS) & ~F.col("before").rlike("[0-9@+]"))
-        found.append(loose(neutral.select(*snippet)).select(*columns(kind, 0.0, F.col("origin"))))
-        others = F.concat(*[k for k in KINDS if k != kind])
-        natural = rows.select("_text", F.col(kind).alias("own"), others.alias("others"), F.explode(f"loose_{kind}").alias("span"))
-        inside = F.substring("_text", F.col("span.start"), F.when(F.col("span.start") > 0, 1).otherwise(0)).rlike("[0-9A-Za-z]")
-        natural = natural.filter(~F.exists("own", lambda s: meets(s, F.col("span"))) & (inside | F.exists("others", lambda s: meets(s, F.col("span")))))
-        found.append(natural.select(*columns(kind, 0.0, F.xxhash64("_text", "span.start"))))
-    return reduce(DataFrame.union, found)
+    """One row per example: its kind, whether it is personal data, and its features.
+
+    A text is searched once, for all kinds; then only the snippets around its examples are.
+    """
+    cut = rows.withColumn("_neutral", _neutral(F.col("_text"))).select(F.explode(F.concat(*map(_snippets, KINDS))).alias("x")).select("x.*")
+    placed = F.struct(F.length("before").alias("start"), (F.length("before") + F.length("value")).alias("end"), F.col("value").alias("value"))
+    cut = cut.select("kind", "label", "order", "natural", F.concat("before", "value", "after").alias("_text"), placed.alias("place"))
+    loose = _by_kind(lambda k: F.filter(_found(F.col("_text"), LOOSE[k]), lambda s: _meets(s, F.col("place"))))
+    found = cut.withColumn("span", F.explode(F.when(F.col("natural"), F.array("place")).otherwise(loose)))
+    shared = {n: c for n, c in _features(KINDS[0], F.col("_text"), F.col("span")).items() if n != "valid"}
+    valid = _by_kind(lambda k: _features(k, F.col("_text"), F.col("span"))["valid"])
+    return found.select(F.col("kind").cast("double").alias("kind"), "label", "order", *[c.alias(n) for n, c in shared.items()], valid.alias("valid"))
 
 
 def _condition(node, names: list[str], columns: dict[str, Column]) -> Column:

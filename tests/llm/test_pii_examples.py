@@ -18,3 +18,10 @@ def test_equal_examples_are_counted(spark):
     counted = pii.counted_examples(documents)
     assert counted.agg(F.sum("rows")).first()[0] == pii._examples(pii._spans(documents)).count()
     assert counted.count() < 30
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    spark.createDataFrame([("mail me@x.org now",), ("call +49 30 1234567 now",)], "text string").write.parquet(f"{tmp_path}/documents")
+    counted = pii.counted_examples(spark.read.parquet(f"{tmp_path}/documents"))
+    assert counted._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert {(r["kind"], r["label"]) for r in counted.collect()} >= {(0.0, 1.0), (3.0, 1.0)}
