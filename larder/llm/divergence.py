@@ -65,7 +65,7 @@ def _language_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     classes: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch["lang"].fill_null("").to_pylist(), object)
-        for at, end, data, offsets in kernel.slices(batch["text"]):
+        for at, end, data, offsets in kernel.slices(batch["text"], kernel.HASH_SLICE_BYTES):
             raw, low = kernel.Text(data, offsets), kernel.Text(data, offsets, lower=True)
             starts, ends = low.words()
             hashes, rows, counts = low.hashes(starts, ends), low.row_of(starts), _class_counts(raw)
@@ -148,44 +148,48 @@ def _measure(text: kernel.Text) -> tuple[dict[str, np.ndarray], np.ndarray, np.n
     }, rows, first
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = [n for n in batch.schema.names if n.startswith("_keep_")]
-        langs = np.array(batch["lang"].fill_null("").to_pylist(), object)
-        lists = {n: batch[n] for n in ("word_keys", "word_shares", "class_shares")}
-        totals = batch["total"].fill_null(0).to_numpy(zero_copy_only=False)
-        for at, end, data, offsets in kernel.slices(batch["text"]):
-            raw, low = kernel.Text(data, offsets), kernel.Text(data, offsets, lower=True)
-            out, rows, first = _measure(raw)
-            starts, ends = low.words()
-            hashes, classes = low.hashes(starts, ends), _class_counts(raw)
-            word_far, class_far = np.full(raw.rows, np.nan), np.full(raw.rows, np.nan)
-            own = langs[at:end]
-            for lang in set(own):
-                mine = own == lang
-                one = at + int(np.argmax(mine))
-                if totals[one] < MIN_REFERENCE_WORDS:
-                    continue
-                keys = np.array(lists["word_keys"][one].as_py(), np.int64).view(np.uint64)
-                shares = np.array(lists["word_shares"][one].as_py())
-                order = np.argsort(keys)
-                keys, shares = keys[order], np.append(shares[order], 1 - shares.sum())
-                picked = mine[rows]
-                place = np.minimum(np.searchsorted(keys, hashes[picked]), len(keys) - 1)
-                place = np.where(keys[place] == hashes[picked], place, len(keys))
-                number = np.cumsum(mine) - 1
-                counts = np.bincount(number[rows[picked]] * len(shares) + place, minlength=mine.sum() * len(shares))
-                word_far[mine] = _distance(counts.reshape(-1, len(shares)), shares)
-                class_far[mine] = _distance(classes[mine], np.array(lists["class_shares"][one].as_py()))
-            word_far[out["n_words"] < MIN_WORDS] = np.nan
-            class_far[raw.sums(first) < MIN_CHARS] = np.nan
-            far = {"word_distance": word_far, "class_distance": class_far}
-            yield pa.RecordBatch.from_arrays(
-                [batch[n][at:end] for n in names]
-                + [pa.array(v.astype(np.int64)) for v in out.values()]
-                + [pa.array(v, pa.float64(), from_pandas=True) for v in far.values()],
-                [*names, *out, *far],
-            )
+def _judge(kept: dict[str, str]):
+    """The rows with what is measured and judged; ``kept`` has the columns that go along, by the name they get."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch["lang"].fill_null("").to_pylist(), object)
+            lists = {n: batch[n] for n in ("word_keys", "word_shares", "class_shares")}
+            totals = batch["total"].fill_null(0).to_numpy(zero_copy_only=False)
+            for at, end, data, offsets in kernel.slices(batch["text"], kernel.HASH_SLICE_BYTES):
+                raw, low = kernel.Text(data, offsets), kernel.Text(data, offsets, lower=True)
+                out, rows, first = _measure(raw)
+                starts, ends = low.words()
+                hashes, classes = low.hashes(starts, ends), _class_counts(raw)
+                word_far, class_far = np.full(raw.rows, np.nan), np.full(raw.rows, np.nan)
+                own = langs[at:end]
+                for lang in set(own):
+                    mine = own == lang
+                    one = at + int(np.argmax(mine))
+                    if totals[one] < MIN_REFERENCE_WORDS:
+                        continue
+                    keys = np.array(lists["word_keys"][one].as_py(), np.int64).view(np.uint64)
+                    shares = np.array(lists["word_shares"][one].as_py())
+                    order = np.argsort(keys)
+                    keys, shares = keys[order], np.append(shares[order], 1 - shares.sum())
+                    picked = mine[rows]
+                    place = np.minimum(np.searchsorted(keys, hashes[picked]), len(keys) - 1)
+                    place = np.where(keys[place] == hashes[picked], place, len(keys))
+                    number = np.cumsum(mine) - 1
+                    counts = np.bincount(number[rows[picked]] * len(shares) + place, minlength=mine.sum() * len(shares))
+                    word_far[mine] = _distance(counts.reshape(-1, len(shares)), shares)
+                    class_far[mine] = _distance(classes[mine], np.array(lists["class_shares"][one].as_py()))
+                word_far[out["n_words"] < MIN_WORDS] = np.nan
+                class_far[raw.sums(first) < MIN_CHARS] = np.nan
+                far = {"word_distance": word_far, "class_distance": class_far}
+                yield pa.RecordBatch.from_arrays(
+                    [batch[n][at:end] for n in kept.values()]
+                    + [pa.array(v.astype(np.int64)) for v in out.values()]
+                    + [pa.array(v, pa.float64(), from_pandas=True) for v in far.values()],
+                    [*kept, *out, *far],
+                )
+
+    return run
 
 
 def quality_rules(
@@ -214,12 +218,13 @@ def passing(documents: DataFrame) -> DataFrame:
 
 def _judged(documents: DataFrame, names: list[str], references: DataFrame | None, class_distance: float, word_distance: float) -> DataFrame:
     references = language_references(documents) if references is None else references
-    rows = documents.select(
-        *[F.col(f"`{n}`").alias(f"_keep_{i}") for i, n in enumerate(names)], "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    columns = {f"_keep_{i}": n for i, n in enumerate(names)}
+    rows = documents.select(  # the texts go to the workers once, kept or not
+        *[F.col(f"`{n}`").alias(k) for k, n in columns.items() if n != "text"], "text", F.coalesce("lang", F.lit("")).alias("lang"))
     small = F.broadcast(references) if fits(references, LANGUAGES_SENT) else references
     joined = rows.join(small, "lang", "left")
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)]]
-    judged = joined.mapInArrow(_judge, ", ".join([*kinds, _BASE, "word_distance double, class_distance double"]))
+    kinds = [f"{k} {documents.schema[n].dataType.simpleString()}" for k, n in columns.items()]
+    judged = joined.mapInArrow(_judge({k: "text" if n == "text" else k for k, n in columns.items()}), ", ".join([*kinds, _BASE, "word_distance double, class_distance double"]))
     failed = (F.col("n_words") < MIN_BASE_WORDS) | (F.lit(100) * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     near = (F.coalesce(F.col("class_distance") <= class_distance, F.lit(True))
             & F.coalesce(F.col("word_distance") <= word_distance, F.lit(True)))

@@ -64,7 +64,7 @@ def listed(n: int, percent: int = PERCENT) -> int:
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(row of the first, sorted different shingles of each text) per slice."""
-    for at, _, data, offsets in kernel.slices(column):
+    for at, _, data, offsets in kernel.slices(column, kernel.HASH_SLICE_BYTES):
         text = kernel.Text(data, offsets, lower=True)
         starts, ends = text.words()
         rows, hashes = text.row_of(starts), text.hashes(starts, ends)

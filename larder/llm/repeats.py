@@ -73,7 +73,7 @@ def _anchors(length: int, run: int, contexts: bool):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in kernel.slices(batch["text"]):
+            for at, end, data, offsets in kernel.slices(batch["text"], kernel.HASH_SLICE_BYTES):
                 text = kernel.Text(data, offsets)
                 windows, anchors, hashes = _window_anchors(text, length, run)
                 place, first, last = _groups(windows, anchors)
@@ -168,7 +168,7 @@ def _windows(length: int):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, data, offsets in kernel.slices(batch["text"]):
+            for at, end, data, offsets in kernel.slices(batch["text"], kernel.HASH_SLICE_BYTES):
                 text = kernel.Text(data, offsets)
                 out = []
                 for row in range(end - at):
