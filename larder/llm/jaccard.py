@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ LARGEST_LIGHT = 24  # sizes up to which the boundary may lie: beyond, subsets ar
 STAR_ROUNDS = 1  # a cluster's own lists are its rarer ones, which are kept: one round merges most of it
 SHORT_LIST = 40  # members up to which all pairs of a remaining list are compared
 SIGN_BITS = 1024  # of the signature that bounds how much two sets differ
+PLACES = 1 << 20  # on which elements are counted: a megabyte of levels goes out to the tasks at any size
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -236,24 +238,62 @@ def _short_pairs(left: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("class").alias("a"), F.col("class2").alias("b"))
 
 
+def _places(found: np.ndarray) -> np.ndarray:
+    return (found % np.uint64(PLACES)).astype(np.int64)
+
+
+def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, n): how many elements of one task's sets fall on each place."""
+    counts = np.zeros(PLACES, np.int64)
+    for batch in batches:
+        counts += np.bincount(_places(batch["shingles"].flatten().to_numpy().view(np.uint64)), minlength=PLACES)
+    at = np.flatnonzero(counts)
+    for i in range(0, len(at), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(counts[at[i : i + 50_000]])], ["place", "n"])
+
+
+def _rarest(sent: Broadcast, percent: int) -> Kernel:
+    """The rows with ``skipped``, how many elements no other set has, and ``tokens``, the rarest of the others that a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [n for n in batch.schema.names if n != "shingles"]
+            ends = np.append(0, np.cumsum(batch["n"].to_numpy()))
+            flat = batch["shingles"].flatten().to_numpy().view(np.uint64)
+            levels = sent.value[_places(flat)]
+            tokens, skipped = [np.zeros(0, np.uint64)], []
+            for a, b in zip(ends, ends[1:]):
+                order = np.lexsort((flat[a:b], levels[a:b]))
+                skipped.append(int((levels[a:b] == 0).sum()))
+                tokens.append(flat[a:b][order][skipped[-1] : b - a - needed(int(b - a), percent) + 1])
+            bounds = np.cumsum([len(x) for x in tokens]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch[n] for n in names] + [pa.array(skipped, pa.int32()), pa.ListArray.from_arrays(pa.array(bounds), kernel.signed(np.concatenate(tokens)))],
+                [*names, "skipped", "tokens"])
+
+    return run
+
+
 def _rare_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): the pairs of ``left(class, label)`` of two labels that can be linked, each once.
 
     Two linked sets share one of their rarest elements, if each puts as many in
     lists as a link could leave without the other's. Elements are ranked by how
     many of the classes here have them, so what all copies of one text share
-    comes last, and two copies that changed different places meet nowhere. The
+    comes last, and two copies that changed different places meet nowhere. They
+    are counted on a fixed number of places, merged inside each task; elements
+    that share a place rank alike, which any order allows. Only those that are
+    put in lists become rows. The
     places of the first element in common bound how many can follow it, and the
     bits that differ bound how many elements must be in one set only.
     """
-    own = left.join(sets, "class").repartition("class")  # even tasks, wherever the sets lie
-    one = own.select("class", F.explode("shingles").alias("token"))
-    counted = one.groupBy("token").count().filter("count > 1")
+    own = left.join(sets, "class").repartition("class").select("class", "n", "label", "bits", "shingles")  # even tasks, wherever the sets lie
+    counted = own.select("shingles").mapInArrow(_count_elements, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
+    levels = np.zeros(PLACES, np.uint8)  # as many numbers at most come to the driver
+    levels[counted["place"].to_numpy(np.int64)] = np.minimum(4 * np.log2(counted["n"].to_numpy(float)), 255)
     # What a single class has comes first in the order, but meets nothing: only its number matters.
-    shared = one.join(counted, "token").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("met"))
-    met = shared.join(own.select("class", "n", "label", "bits"), "class")
-    listed_here = F.expr(f"greatest(0, n - ({percent} * n + 99) div 100 + 1 - (n - size(met)))")
-    first = met.withColumn("skipped", F.expr("n - size(met)")).withColumn("tokens", F.slice(F.col("met.token"), 1, listed_here.cast("int"))).drop("met")
+    first = own.mapInArrow(_rarest(own.sparkSession.sparkContext.broadcast(levels), percent),
+                           "class long, n int, label long, bits array<long>, skipped int, tokens array<long>")
     entries = cut_lineage(first.filter("size(tokens) > 0").select("class", "n", "label", "bits", "skipped", "tokens", F.posexplode("tokens").alias("place", "token")))
     other = entries.select(*[F.col(c).alias(f"{c}2") for c in entries.columns])
     most = F.least(F.col("n") - F.col("skipped") - F.col("place"), F.col("n2") - F.col("skipped2") - F.col("place2"))
