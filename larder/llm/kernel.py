@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2_000_000
-HASH_SLICE_BYTES = 500_000  # where each byte or word gets hashes: about eighty megabytes of them at a time
+HASH_SLICE_BYTES = 200_000  # where each byte or word gets hashes: some thirty megabytes of them at a time
 
 _random = np.random.default_rng(20240607)
 _VALUE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

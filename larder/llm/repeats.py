@@ -32,7 +32,7 @@ from larder.llm.common import query, read, stored
 
 LENGTH = 100
 HOT_PLACES = 100_000  # places of one anchor that may meet in one task
-INDEX_BYTES = 4_000_000  # contexts that are indexed at once, and besides those of one anchor
+INDEX_BYTES = 1_000_000  # contexts that are indexed at once, and besides those of one anchor
 RUN = 24  # bytes of the runs whose smallest hash is the anchor
 SIEVE = 1 << 20  # places of the filter that goes out to find the documents concerned
 
@@ -115,19 +115,32 @@ def _contexts(length: int):
     return go
 
 
+def _window_hashes(pieces: pa.Array, length: int) -> np.ndarray:
+    """Hashes of the windows of all pieces in order, made for small slices."""
+    made = [np.zeros(0, np.uint64)]
+    for _, _, data, offsets in kernel.slices(pieces, kernel.HASH_SLICE_BYTES):
+        text = kernel.Text(data, offsets)
+        many = np.maximum(np.diff(offsets) - length + 1, 0)
+        begins = np.repeat(offsets[:-1] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        made.append(text.hashes(begins, begins + length))
+    return np.concatenate(made)
+
+
 def _indexed(docs: np.ndarray, starts: np.ndarray, pieces: pa.Array, length: int) -> pa.RecordBatch:
     """(doc_id, a, b) of the stretches of the pieces that repeat an earlier one."""
-    offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
-    data = np.frombuffer(pieces.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    text = kernel.Text(data, offsets)
-    many = np.maximum(np.diff(offsets) - length + 1, 0)
-    rows = np.repeat(np.arange(len(pieces)), many)
-    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    windows = text.hashes(offsets[rows] + at, offsets[rows] + at + length)
-    order = np.lexsort((starts[rows] + at, docs[rows], windows))  # runs of equal windows, each from its first place on
+    order = np.lexsort((starts, docs))
+    docs, starts, pieces = docs[order], starts[order], pieces.take(pa.array(order))
+    many = np.maximum(np.diff(np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]) - length + 1, 0)
+    windows = _window_hashes(pieces, length)
+    rows = np.repeat(np.arange(len(pieces), dtype=np.int32), many)
+    at = np.arange(len(rows), dtype=np.int32) - np.repeat((np.cumsum(many) - many).astype(np.int32), many)
+    if ((docs[1:] == docs[:-1]) & (starts[1:] < starts[:-1] + many[:-1])).any():  # rows with one id and different texts
+        order = np.lexsort((starts[rows] + at, docs[rows], windows))
+    else:  # pieces of a document share no window, so their windows are in order of place
+        order = np.argsort(windows, kind="stable")
+    ranked = windows[order]  # runs of equal windows, each from its first place on
     later = np.zeros(len(order), bool)
-    later[order[1:]] = windows[order[1:]] == windows[order[:-1]]
+    later[order[1:][ranked[1:] == ranked[:-1]]] = True
     rows, at = rows[later], at[later]
     new = np.append(True, (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1))[: len(rows)]
     first = np.flatnonzero(new)
@@ -137,7 +150,7 @@ def _indexed(docs: np.ndarray, starts: np.ndarray, pieces: pa.Array, length: int
 
 
 def _index(length: int):
-    """Index the contexts of whole anchors, a few megabytes at a time; rows come in order of their anchor."""
+    """Index the contexts of whole anchors, about a megabyte at a time; rows come in order of their anchor."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

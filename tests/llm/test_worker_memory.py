@@ -45,3 +45,17 @@ def test_only_listed_elements_become_rows(spark):
     again = frame.unionByName(frame.filter("class = 7").selectExpr("1007L class", "n", "1007L label", "shingles", "bits"))
     found = {(r["a"], r["b"]) for r in jaccard._rare_pairs(again.select("class", "label"), again.drop("label"), 80).collect()}
     assert (7, 1007) in found
+
+
+def test_index_hashes_small_slices_and_marks_all_but_the_first(monkeypatch):
+    sizes, init = [], kernel.Text.__init__
+    monkeypatch.setattr(kernel.Text, "__init__", lambda self, data, *more, **named: sizes.append(len(data)) or init(self, data, *more, **named))
+    rng = np.random.default_rng(5)
+    pieces = [rng.integers(0, 256, 400, dtype=np.uint8).tobytes() for _ in range(3_000)]
+    docs, starts = np.append(np.arange(3_000), [9_000, 5_000]), np.append(np.zeros(3_000, np.int64), [20, 7])
+    out = repeats._indexed(docs, starts, pa.array([*pieces, pieces[11], pieces[12]], pa.binary()), 100)
+    assert out.to_pylist() == [{"doc_id": 5_000, "a": 7, "b": 407}, {"doc_id": 9_000, "a": 20, "b": 420}]
+    assert max(sizes) <= kernel.HASH_SLICE_BYTES
+    # one id with different texts, whose pieces overlap: the window at the smaller place is the first
+    again = repeats._indexed(np.array([1, 1]), np.array([10, 20]), pa.array([b"x" * 30 + pieces[0][:100], pieces[0][:100]], pa.binary()), 100)
+    assert again.to_pylist() == [{"doc_id": 1, "a": 40, "b": 140}]
