@@ -28,6 +28,7 @@ from larder.llm import chunks, kernel
 from larder.llm.common import query, read
 
 COST_UNIT = 1_000_000  # costs are whole numbers, so sums do not depend on where a window begins
+SLICE_BYTES = 500_000  # of texts that are encoded at once
 BYTE_COST = 25 * COST_UNIT  # of one byte of a letter that no piece has; above that of any piece
 _MARK, _LITERAL = "▁", "\udfff"  # a space in a piece; a mark that was in the text itself
 
@@ -166,7 +167,7 @@ def _encode(path: str):
         memory = _memory(path)
         for batch in batches:
             names = [n for n in batch.schema.names if n != "_text"]
-            for at, end, data, offsets in kernel.slices(batch["_text"]):
+            for at, end, data, offsets in kernel.slices(batch["_text"], SLICE_BYTES):
                 ids, counts = memory.ids(_begun(data, offsets))
                 ends = np.append(0, np.cumsum(counts)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -141,7 +141,7 @@ def _tiled(block: Broadcast, minimum: int, coverage: float, kind: str):
         items: Block = block.value
         for batch in batches:
             names = [n for n in batch.schema.names if n not in ("_found", "_words")]
-            for at, end, data, offsets in kernel.slices(batch["_text"]):
+            for at, end, data, offsets in kernel.slices(batch["_text"], kernel.HASH_SLICE_BYTES):
                 hashes, rows = _words(kernel.Text(data, offsets, lower=True))
                 bounds = np.searchsorted(rows, np.arange(end - at + 1))
                 found = [x or [] for x in batch["_found"][at:end].to_pylist()]

@@ -1,12 +1,13 @@
 """How much the operators hold in a Python worker at once."""
 
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from larder.llm import divergence, jaccard, kernel, repeats
+from larder.llm import divergence, jaccard, kernel, pieces, repeats, tiling
 
 TABLE = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "lang": ["en"] * 60, "text": [f"word{k} and more " * 2_000 for k in range(60)]})
 
@@ -59,3 +60,17 @@ def test_index_hashes_small_slices_and_marks_all_but_the_first(monkeypatch):
     # one id with different texts, whose pieces overlap: the window at the smaller place is the first
     again = repeats._indexed(np.array([1, 1]), np.array([10, 20]), pa.array([b"x" * 30 + pieces[0][:100], pieces[0][:100]], pa.binary()), 100)
     assert again.to_pylist() == [{"doc_id": 1, "a": 40, "b": 140}]
+
+
+def _tiles():
+    return tiling._tiled(SimpleNamespace(value=tiling.Block([(1, "some words of an item")], 4, 0.5)), 4, 0.5, "long")
+
+
+@pytest.mark.parametrize("run", [_tiles, lambda: pieces._encode(pieces.default_vocabulary())], ids=["tiling", "pieces"])
+def test_texts_are_tiled_and_encoded_in_small_slices(run, monkeypatch, spark):
+    sizes, init = [], kernel.Text.__init__
+    batch = pa.RecordBatch.from_pydict({"_keep_0": TABLE["doc_id"], "_text": TABLE["text"], "_found": [None] * 60, "_words": [0] * 60})
+    go = run()
+    monkeypatch.setattr(kernel.Text, "__init__", lambda self, data, *more, **named: sizes.append(len(data)) or init(self, data, *more, **named))
+    assert sum(b.num_rows for b in go(iter([batch]))) == 60
+    assert max(sizes) <= 550_000
