@@ -45,6 +45,7 @@ STAR_ROUNDS = 1  # a cluster's own lists are its rarer ones, which are kept: one
 SHORT_LIST = 40  # members up to which all pairs of a remaining list are compared
 SIGN_BITS = 1024  # of the signature that bounds how much two sets differ
 PLACES = 1 << 20  # on which elements are counted: a megabyte of levels goes out to the tasks at any size
+BLOCK = 1 << 12  # places whose counts a task sends as one row
 
 Kernel = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -243,13 +244,27 @@ def _places(found: np.ndarray) -> np.ndarray:
 
 
 def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, n): how many elements of one task's sets fall on each place."""
+    """(block, places, counts): how many elements of one task's sets fall on each place, a row for each block of places."""
     counts = np.zeros(PLACES, np.int64)
     for batch in batches:
         counts += np.bincount(_places(batch["shingles"].flatten().to_numpy().view(np.uint64)), minlength=PLACES)
     at = np.flatnonzero(counts)
-    for i in range(0, len(at), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(counts[at[i : i + 50_000]])], ["place", "n"])
+    blocks, first = np.unique(at // BLOCK, return_index=True)
+    ends = pa.array(np.append(first, len(at)).astype(np.int32))
+    yield pa.RecordBatch.from_arrays([
+        pa.array(blocks), pa.ListArray.from_arrays(ends, pa.array((at % BLOCK).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(counts[at])),
+    ], ["block", "places", "counts"])
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, levels): the sums of all tasks' counts as a byte each, 0 for an element that one set has; a block comes to one task."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, places, counts in zip(batch["block"].to_pylist(), batch["places"], batch["counts"]):
+            own = sums.setdefault(block, np.zeros(BLOCK, np.int64))
+            own[places.values.to_numpy()] += counts.values.to_numpy()
+    made = [np.minimum(4 * np.log2(np.maximum(n, 1)), 255).astype(np.uint8).tobytes() for n in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(made, pa.binary())], ["block", "levels"])
 
 
 def _rarest(sent: Broadcast, percent: int) -> Kernel:
@@ -281,16 +296,18 @@ def _rare_pairs(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     lists as a link could leave without the other's. Elements are ranked by how
     many of the classes here have them, so what all copies of one text share
     comes last, and two copies that changed different places meet nowhere. They
-    are counted on a fixed number of places, merged inside each task; elements
+    are counted on a fixed number of places, merged inside each task, and sent as
+    a row for each block of places; elements
     that share a place rank alike, which any order allows. Only those that are
     put in lists become rows. The
     places of the first element in common bound how many can follow it, and the
     bits that differ bound how many elements must be in one set only.
     """
     own = left.join(sets, "class").repartition("class").select("class", "n", "label", "bits", "shingles")  # even tasks, wherever the sets lie
-    counted = own.select("shingles").mapInArrow(_count_elements, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
+    counted = own.select("shingles").mapInArrow(_count_elements, "block long, places array<int>, counts array<long>")
     levels = np.zeros(PLACES, np.uint8)  # as many numbers at most come to the driver
-    levels[counted["place"].to_numpy(np.int64)] = np.minimum(4 * np.log2(counted["n"].to_numpy(float)), 255)
+    for r in counted.repartition("block").mapInArrow(_levels, "block long, levels binary").collect():
+        levels[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["levels"], np.uint8)
     # What a single class has comes first in the order, but meets nothing: only its number matters.
     first = own.mapInArrow(_rarest(own.sparkSession.sparkContext.broadcast(levels), percent),
                            "class long, n int, label long, bits array<long>, skipped int, tokens array<long>")

@@ -48,6 +48,17 @@ def test_only_listed_elements_become_rows(spark):
     assert (7, 1007) in found
 
 
+def test_counts_of_elements_are_a_row_for_each_block():
+    """A task whose elements fall on very many places sends a row for each block of them; their sums are exact."""
+    sets = [np.arange(k, 400_000, 7, dtype=np.int64) for k in range(7)] + [np.arange(1_000, dtype=np.int64)]
+    tasks = [[pa.RecordBatch.from_pydict({"shingles": [x]}) for x in part] for part in (sets[:4], sets[4:])]
+    rows = [b for part in tasks for b in jaccard._count_elements(iter(part))]
+    assert sum(b.num_rows for b in rows) <= 2 * jaccard.PLACES // jaccard.BLOCK < 1_000
+    found = {r["block"]: r["levels"] for b in jaccard._levels(iter(rows)) for r in b.to_pylist()}
+    levels = np.concatenate([np.frombuffer(found[k], np.uint8) for k in sorted(found)])
+    assert (levels[:1_000] == 4).all() and not levels[1_000:].any()
+
+
 def test_index_hashes_small_slices_and_marks_all_but_the_first(monkeypatch):
     sizes, init = [], kernel.Text.__init__
     monkeypatch.setattr(kernel.Text, "__init__", lambda self, data, *more, **named: sizes.append(len(data)) or init(self, data, *more, **named))
