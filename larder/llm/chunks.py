@@ -6,6 +6,7 @@ says which bytes count as white space, so that no token spans two chunks: the id
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 import numpy as np
@@ -64,6 +65,15 @@ def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray,
     return all(np.array_equal(a[a_at[k] : a_at[k] + sizes[k]], b[b_at[k] : b_at[k] + sizes[k]]) for k in left)
 
 
+_learned: weakref.WeakSet[Memory] = weakref.WeakSet()  # by this worker
+
+
+def forget() -> None:
+    """Give back what this worker has learned: Spark lets it do other work next, for which the chunks would only take room."""
+    for memory in _learned:
+        memory.clear()
+
+
 class Memory:
     """The ids of the chunks seen so far, by hash; the bytes of a chunk are compared with those it was learned from."""
 
@@ -72,6 +82,7 @@ class Memory:
         self.breaks = breaks
         self.most = most
         self.clear()
+        _learned.add(self)
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm import kernel
+from larder.llm import chunks, kernel
 from larder.llm.common import query, read, stored
 from larder.plans.joins import fits
 from larder.session import cut_lineage
@@ -61,6 +61,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _language_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, kind, key, n) of one task: word counts as kind 0, class counts as kind 1."""
+    chunks.forget()
     words: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
     classes: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -152,6 +153,7 @@ def _judge(kept: dict[str, str]):
     """The rows with what is measured and judged; ``kept`` has the columns that go along, by the name they get."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks.forget()
         for batch in batches:
             langs = np.array(batch["lang"].fill_null("").to_pylist(), object)
             lists = {n: batch[n] for n in ("word_keys", "word_shares", "class_shares")}

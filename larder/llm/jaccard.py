@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import kernel
+from larder.llm import chunks, kernel
 from larder.llm.common import query, read, sieved, stored
 from larder.llm.components import components
 from larder.session import cut_lineage
@@ -67,6 +67,7 @@ def listed(n: int, percent: int = PERCENT) -> int:
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(row of the first, sorted different shingles of each text) per slice."""
+    chunks.forget()
     for at, _, data, offsets in kernel.slices(column, kernel.HASH_SLICE_BYTES):
         text = kernel.Text(data, offsets, lower=True)
         starts, ends = text.words()

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import kernel
+from larder.llm import chunks, kernel
 from larder.llm.common import query, read
 
 MIN_TILE = 4  # words; shorter items are one tile
@@ -138,6 +138,7 @@ def _tiled(block: Broadcast, minimum: int, coverage: float, kind: str):
     found_type = to_arrow_type(_parse_datatype_string(_FOUND.format(kind=kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks.forget()
         items: Block = block.value
         for batch in batches:
             names = [n for n in batch.schema.names if n not in ("_found", "_words")]

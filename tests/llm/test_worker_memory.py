@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from larder.llm import divergence, jaccard, kernel, pieces, repeats, tiling
+from larder.llm import chunks, divergence, jaccard, kernel, pieces, repeats, tiling
 
 TABLE = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "lang": ["en"] * 60, "text": [f"word{k} and more " * 2_000 for k in range(60)]})
 
@@ -85,3 +85,18 @@ def test_texts_are_tiled_and_encoded_in_small_slices(run, monkeypatch, spark):
     monkeypatch.setattr(kernel.Text, "__init__", lambda self, data, *more, **named: sizes.append(len(data)) or init(self, data, *more, **named))
     assert sum(b.num_rows for b in go(iter([batch]))) == 60
     assert max(sizes) <= 550_000
+
+
+@pytest.mark.parametrize("other", [lambda: divergence._language_counts, lambda: jaccard._classify(5), _tiles], ids=["counts", "classes", "tiling"])
+def test_a_worker_gives_the_chunks_back_when_other_work_begins(other, spark):
+    path = pieces.default_vocabulary()
+    texts = pa.RecordBatch.from_pydict({"_text": [" ".join(f"word{17 * k + j}" for j in range(300)) for k in range(40)]})
+    encode = lambda: [b["ids"].to_pylist() for b in pieces._encode(path)(iter([texts]))]
+    before, memory = encode(), pieces._memory(path)
+    assert len(memory.keys) > 900
+    batch = pa.RecordBatch.from_pydict({"doc_id": TABLE["doc_id"], "lang": TABLE["lang"], "text": TABLE["text"], "_keep_0": TABLE["doc_id"],
+                                        "_text": TABLE["text"], "_found": [None] * 60, "_words": [0] * 60})
+    for _ in other()(iter([batch])):
+        pass
+    assert not len(memory.keys) and sum(x.nbytes for x in memory.pools.values()) < 1_000_000
+    assert encode() == before
