@@ -239,7 +239,8 @@ def repeat_spans(documents: DataFrame, length: int = LENGTH, run: int = RUN, hot
     places = rows.mapInArrow(_anchors(length, run, True), "anchor long, context long, doc_id long, place long")
     key = F.struct("doc_id", "place")
     own, all_of = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
-    met = places.join(often.filter(F.col("count") <= hot_places).select("anchor"), "anchor").withColumn("first", F.min(key).over(own) == key).withColumn(
+    few, many = _parted(places, often, hot_places)
+    met = few.withColumn("first", F.min(key).over(own) == key).withColumn(
         "various", F.min("context").over(all_of) != F.max("context").over(all_of))
     found = stored(_unpacked(met.filter("not first or various").select("anchor", "doc_id", "place", "first")).drop("place"))
     spans = [found.filter("not first").select("doc_id", "a", (F.col("b") + length).cast("int").alias("b"))]
@@ -247,15 +248,26 @@ def repeat_spans(documents: DataFrame, length: int = LENGTH, run: int = RUN, hot
     contexts = _concerned(rows, gathered).join(gathered, "doc_id").select("doc_id", "text", "spans").mapInArrow(
         _contexts(length), "anchor long, doc_id long, start int, bytes binary")
     spans.append(contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_index(length), "doc_id long, a int, b int"))
-    hot = often.filter(F.col("count") > hot_places).select("anchor")
-    if not hot.isEmpty():
-        spans += _hot_spans(rows, places.join(hot, "anchor"), length)
+    if many is not None:
+        spans += _hot_spans(rows, many, length)
     every = spans[0]
     for more in spans[1:]:
         every = every.union(more)
     return every.groupBy("doc_id").agg(F.collect_list(F.array("a", "b")).alias("spans"))
 
 
+def _parted(places: DataFrame, often: DataFrame, hot_places: int) -> tuple[DataFrame, DataFrame | None]:
+    """The places of the anchors of ``often(anchor, count)``: of those with few places, and of those with very many.
+
+    Each of the latter has more than ``hot_places`` places, so there are few of
+    them: they go out to the tasks, and neither side shuffles the other's places.
+    """
+    few, hot = (often.filter(x).select("anchor") for x in (F.col("count") <= hot_places, F.col("count") > hot_places))
+    if hot.isEmpty():
+        return places.join(few, "anchor"), None
+    return places.join(F.broadcast(hot), "anchor", "left_anti").join(few, "anchor"), places.join(F.broadcast(hot), "anchor")
+
+
 def _hot_spans(rows: DataFrame, places: DataFrame, length: int) -> list[DataFrame]:
     """Steps 2 and 3 without gathering the places of an anchor: window by window, with partial aggregation."""
     met = stored(places)

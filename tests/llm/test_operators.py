@@ -443,6 +443,20 @@ def test_repeats(documents, nothing, hot, monkeypatch):
     assert repeats.without_repeats(nothing).count() == 0
 
 
+def test_places_of_frequent_anchors_stay_out_of_the_shuffle_by_anchor(spark, documents, monkeypatch):
+    plans, stored = [], repeats.stored
+    monkeypatch.setattr(repeats, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        repeats.repeat_spans(documents, hot_places=3)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    found, met = plans[1], plans[3]
+    assert "LeftAnti" in found.split("Exchange hashpartitioning(anchor")[1]  # before the rows are dealt by anchor
+    assert "MapInArrow" in met and "Exchange hashpartitioning" not in met
+
+
 def test_pipeline_keeps_columns_and_takes_effect(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
